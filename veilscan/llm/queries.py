@@ -11,6 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilscan.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilscan.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("epochs")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilscan.llm.minhash import near_duplicates
 
@@ -21,5 +33,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The same targets, keys and prefix sums, over whole sources.
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    coalesce(greatest(0.25, 1 - 4 * (length(text) - length(translate(text, '#*$%&|<>', ''))) / nullif(length(text), 0)), 0.25) AS q,
+    (CAST(CAST('0x' || substr(sha256('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS w
+  FROM d GROUP BY source),
+lv AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - (sum(2.0 * source_size) OVER r - 2.0 * source_size)) / (sum(w) OVER () - (sum(w) OVER r - w)) AS lvl
+  FROM s WINDOW r AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (
+  SELECT source, source_size, round(least(2.0 * source_size, w * (SELECT lvl FROM lv WHERE lvl * w <= 2.0 * source_size ORDER BY 2.0 * source_size / w LIMIT 1)), 6) AS target FROM lv),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t)
+SELECT d.doc_id, d.size, g.source_size, g.target,
+  CAST(d.size * (whole + CASE WHEN sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mix_sources": OP9}
