@@ -51,8 +51,8 @@ def resolve(work: Work, members: DataFrame, linked: Callable[[DataFrame], DataFr
     edges, hubs = None, 1
     while True:
         if hubs == 1:
-            best = F.struct(F.col("w"), (-F.col("node")).alias("minus"), F.col("component"))
-            top = live.groupBy("bucket").agg(F.max(best).alias("t")).select("bucket", (-F.col("t.minus")).alias("hub"), F.col("t.component").alias("hc"))
+            best = F.struct(F.col("w"), F.bitwise_not("node").alias("minus"), F.col("component"))
+            top = live.groupBy("bucket").agg(F.max(best).alias("t")).select("bucket", F.bitwise_not("t.minus").alias("hub"), F.col("t.component").alias("hc"))
         else:
             top = _top(live, hubs)
         top = work.save(top)
@@ -77,6 +77,22 @@ def resolve(work: Work, members: DataFrame, linked: Callable[[DataFrame], DataFr
         hubs *= 4
 
 
+def bitmap(ids: DataFrame, column: str, most_bits: int = 1 << 26) -> tuple[bytes, int]:
+    """A bit for the top bits of each hash, 8 MB at most whatever the number of ids, and log2 of its bits: a filter that passes
+    all of them, and a few others, ahead of an exact join. Bits are or-ed by Spark; only words of bits are gathered."""
+    import numpy as np
+
+    n = max(1, ids.count())
+    log = max(10, min(int(np.log2(most_bits)), int(np.ceil(np.log2(16 * n)))))
+    h = F.shiftrightunsigned(F.col(column), 64 - log)
+    rows = ids.select(F.shiftrightunsigned(h, 6).alias("w"), F.expr("1L").alias("one"), (h % 64).cast("int").alias("b"))
+    rows = rows.groupBy("w").agg(F.expr("bit_or(shiftleft(one, b))").alias("x"))
+    words = np.zeros(1 << (log - 6), np.int64)
+    for w, x in rows.toLocalIterator():
+        words[w] = x
+    return words.tobytes(), log
+
+
 def _top(live: DataFrame, k: int) -> DataFrame:
     """The k members of each bucket with the most weight: nothing but k rows a bucket meets in a task."""
     from pyspark.sql import Window as W

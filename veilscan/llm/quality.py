@@ -109,12 +109,36 @@ def bands(scored: DataFrame, reach: float, floor: float) -> DataFrame:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, reach: float = 5.0, floor: float = 0.05, most: int = 2_000_000) -> DataFrame:
     """One row per row of docs: id, the five counts, base_failed, loss (mean negative log-probability), low, high, kept."""
+    scored, band, _ = _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor, most)
+    out = scored.join(F.broadcast(band) if band.count() <= 10_000 else band, "lang", "left")
+    return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", F.expr("coalesce(not base_failed and loss between low and high, false)").alias("kept"), "loss", "low", "high", "lang")
+
+
+def _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor, most):
     spark = docs.sparkSession
     work = Work(spark, "quality")
     model = spark.sparkContext.broadcast(kn.train(work, docs, text_col, lang_col, most))
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     scored = src.mapInArrow(_scored(model), "id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", loss double")
     scored = work.save(scored.withColumn("base_failed", F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeated} * n_words")))
-    band = bands(scored.where("not base_failed"), reach, floor)
-    out = scored.join(F.broadcast(band) if band.count() <= 10_000 else band, "lang", "left")
-    return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", F.expr("coalesce(not base_failed and loss between low and high, false)").alias("kept"), "loss", "low", "high", "lang")
+    return scored, work.save(bands(scored.where("not base_failed"), reach, floor)), model
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, reach: float = 5.0, floor: float = 0.05, most: int = 2_000_000) -> DataFrame:
+    """The rows of docs that ``quality`` keeps. Texts are scored again where they are read: they never travel."""
+    _, band, model = _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor, most)
+    # a pair of numbers a language
+    limits = {r["lang"]: (r["low"], r["high"]) for r in band.collect()}
+    score, at = _scored(model), [docs.columns.index(c) for c in (id_col, text_col, lang_col)]
+
+    def run(batches):
+        for b in batches:
+            (x,) = score([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at[1]), b.column(at[2])], ["id", "text", "lang"])])
+            x = x.to_pydict()
+            keep = []
+            for lang, n, rep, loss in zip(x["lang"], x["n_words"], x["n_repeat_words"], x["loss"], strict=True):
+                low, high = limits.get(lang, (0.0, -1.0))
+                keep.append(n >= least_words and 100 * rep <= most_repeated * n and low <= loss <= high)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
