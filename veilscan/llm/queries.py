@@ -5,12 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilscan.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+    joined = {k: F.array_join(k, ",") for k in ("base_spans", "all_spans")}
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["all_spans"].alias("spans"), "n_markov")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilscan.llm import chat
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_trees(chat.chains(rows.unionByName(more))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilscan.llm.quality import quality
 
