@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
-from veilscan.llm.graph import bitmap, components, resolve
+from veilscan.llm.graph import bitmap, components, hint, resolve
 from veilscan.llm.work import Work
 
 U = np.uint64
@@ -264,9 +264,14 @@ def gone_lines(work: Work, docs: DataFrame, reach: int = 2, least: int = 30) ->
         wanted = members.select("node").distinct()
         words, log = bitmap_of_hashes(wanted)
         some = docs.select("text").mapInArrow(_texts(docs.sparkSession.sparkContext.broadcast(words), log), "node long, text string")
+        members = members.withColumn("n", F.lit(1))
         texts = work.save(some.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"))
         a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        edges = resolve(work, members, lambda pairs: pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(reach), "a long, b long"))
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            return hint(pairs).join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(reach), "a long, b long")
+
+        edges = resolve(work, members, linked)
         if not edges.isEmpty():
             comp = work.save(components(work, edges))
             comp = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())

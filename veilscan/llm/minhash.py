@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
-from veilscan.llm.graph import components, resolve
+from veilscan.llm.graph import SMALL, WORDS, bitmap, components, hint, resolve
 from veilscan.llm.work import Work, named
 
 U = np.uint64
@@ -97,6 +97,32 @@ def _sets(width: int):
     return run
 
 
+
+
+def _parities(batches):
+    """(node, bits): the parity of the number of shingles in each of 64 * WORDS classes."""
+    for b in batches:
+        out = []
+        for x in b.column(1):
+            k = tv.mix(tv.unpack(x.as_py()))
+            odd = np.bincount((k % U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) % 2
+            out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "bits"])
+
+
+def _likely(words, log: int):
+    """(id, text) of rows whose hash is in the bitmap."""
+
+    def run(batches):
+        bits = np.frombuffer(words.value, U)
+        for b in batches:
+            x = b.column(2).to_numpy().view(U) >> U(64 - log)
+            keep = bits[(x >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1)
+            yield b.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return run
+
+
 def _confirm(percent: int):
     """Pairs with both packed sets -> those whose similarity is high enough."""
 
@@ -127,32 +153,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id give one row (the text whose set sorts first decides); a null id takes no part in linking and
     is its own component (null). Empty tables give none. Extra columns are ignored.
     """
-    work = Work(docs.sparkSession, "minhash")
+    spark = docs.sparkSession
+    work = Work(spark, "minhash")
     docs = named(docs, id_col, text_col).toDF("id", "text")
     sketch = work.save(docs.mapInArrow(_sketch(width), "id long, n long, set_id binary, bands array<long>"))
     one = sketch.groupBy("id").agg(F.min(F.struct("set_id", "n")).alias("x")).select("id", "x.set_id", "x.n")
     real = one.where("id is not null and set_id is not null")
     classes = work.save(real.groupBy("set_id", "n").agg(F.min("id").alias("node")))
     banded = sketch.where("set_id is not null and id is not null").join(classes.select(F.col("node").alias("id"), "set_id"), ["id", "set_id"]).select("id", "set_id", "bands").dropDuplicates(["id"])
-    members = work.save(banded.select(F.explode("bands").alias("bucket"), F.col("id").alias("node")))
+    members = work.save(banded.join(classes.select(F.col("node").alias("id"), "n"), "id").select(F.explode("bands").alias("bucket"), F.col("id").alias("node"), "n"))
     shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "bucket", "left_semi")
     shared = work.save(shared)
     if shared.isEmpty():
         comp = classes.select("set_id", F.col("node").alias("component"))
     else:
-        wanted = shared.select("node").distinct()
-        texts = docs.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi")
-        sets = work.save(texts.mapInArrow(_sets(width), "node long, shingles binary").dropDuplicates(["node"]))
-        count = classes.select("node", "n")
-        sets = sets.join(count, "node")
         work.drop(members)
-        a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        wanted = work.save(shared.select(F.col("node").alias("id")).distinct())
+        # the bitmap keeps texts of no bucket from travelling; the join is exact
+        words, log = bitmap(wanted.select(F.xxhash64("id").alias("h")), "h")
+        words = spark.sparkContext.broadcast(words)
+        likely = docs.withColumn("h", F.xxhash64("id")).mapInArrow(_likely(words, log), "id long, text string")
+        sets = likely.mapInArrow(_sets(width), "node long, shingles binary").join(wanted.withColumnRenamed("id", "node"), "node", "left_semi").dropDuplicates(["node"])
+        sets = work.save(sets)
 
         def linked(pairs: DataFrame) -> DataFrame:
-            near = pairs.join(b.drop("sb"), "b").join(a.drop("sa"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-            return near.join(b.drop("nb"), "b").join(a.drop("na"), "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+            some = sets
+            if pairs.count() <= SMALL:
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                some = sets.join(F.broadcast(ends), "node", "left_semi")
+            a, b = (some.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+            return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+
+        def bitmaps(nodes: DataFrame) -> DataFrame:
+            return sets.join(hint(nodes), "node", "left_semi").mapInArrow(_parities, "node long, bits array<long>")
 
-        edges = resolve(work, shared, linked)
+        edges = resolve(work, shared, linked, percent, bitmaps)
         comp = components(work, edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         # the smallest id of a component's classes is the smallest of all its texts: a class goes by its smallest
         comp = classes.join(comp, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
