@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilscan.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilscan.llm import secrets
 
@@ -20,6 +26,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["all_spans"].alias("spans"), "n_markov")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilscan.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    weights = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilscan.llm import chat
 
