@@ -50,7 +50,7 @@ def features(column: pa.Array, bits: int):
 class Ftrl:
     """Weights as FTRL-proximal keeps them: z and n for each coordinate, and for a bias that L1 spares."""
 
-    def __init__(self, bits: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.8, l2: float = 0.5):
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -71,7 +71,7 @@ class Ftrl:
 
 def _fit(bits: int, epochs: int, options: dict):
     def run(batches):
-        model, texts = Ftrl(bits, **options), []
+        texts = []
         for b in batches:
             label = b.column(1).to_pylist()
             at = 0
@@ -80,6 +80,8 @@ def _fit(bits: int, epochs: int, options: dict):
                 cut = np.searchsorted(row[order], np.arange(n + 1))
                 texts += [(np.unique(key[order[cut[k] : cut[k + 1]]]).astype(np.int32), label[at + k]) for k in range(n)]
                 at += n
+        # more texts hold more words by chance: L1 grows with their root
+        model = Ftrl(bits, **({"l1": max(1.0, 0.03 * len(texts) ** 0.5)} | options))
         for k in range(epochs):
             for x in np.random.default_rng(k).permutation(len(texts)):
                 model.learn(*texts[x])
@@ -106,7 +108,7 @@ def _score(weights, bits: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, bound: int = 20_000, epochs: int = 3, **options) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, bound: int = 20_000, epochs: int = 4, **options) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) from the labelled texts; those of ``labels`` with the ``bound`` smallest digests of ids."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null")
     some = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
@@ -117,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = 18) -> DataFrame:
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> DataFrame:
     """One row per row of docs: id, score (0 to 1), predicted (1 if the score is 0.5 or more)."""
     w = docs.sparkSession.sparkContext.broadcast(weights)
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(_score(w, bits), "id long, score double")
