@@ -31,7 +31,7 @@ from veilscan.llm.work import Work
 
 U = np.uint64
 #: Entries that a task gathers before it sends them on.
-HELD = 3_000_000
+HELD = 2_000_000
 WORD_BITS, FAR_BITS = 24, 12
 
 

@@ -184,7 +184,7 @@ def _first_pass(k: int, least: int, bits: int):
                     of.append(h[where])
                 held.append((h, ids[i + row], number.astype(np.int32), np.concatenate(keys), np.concatenate(of)))
                 size += len(h) + 13 * len(where)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield flush()
                     size = 0
         if held:

@@ -33,7 +33,8 @@ from veilscan.llm.work import Work, named
 
 #: Characters below this have their class from a table, others go to the tokenizer.
 LATIN = 0x250
-KEPT = 500_000
+#: Distinct pre-tokens that a worker keeps.
+KEPT = 150_000
 _state: dict = {}
 
 
@@ -58,7 +59,7 @@ def _coder(name: str) -> dict:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
         _state.update(
-            name=name, whole=Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), classes=_classes(), seen={}, ids=[],
+            name=name, whole=None, load=lambda: Tokenizer.from_file(public_tokenizers.path(f"{name}.json")), classes=_classes(), seen={}, ids=[],
             piece=tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece,
         )
     return _state
@@ -117,11 +118,11 @@ def token_ids(column: pa.Array, name: str) -> Iterator[np.ndarray]:
                 p = seen.get(x)
                 if p is None:
                     p = seen[x] = len(ids)
-                    ids.append(piece(text[a:b]))
+                    ids.append(np.array(piece(text[a:b]), "<u4").tobytes())
                 place[k] = p
             own = [ids[p] for p in place]
-            size = np.fromiter(map(len, own), np.int64, len(own))
-            flat = np.fromiter((x for y in own for x in y), np.uint32, int(size.sum()))
+            size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            flat = np.frombuffer(b"".join(own), "<u4")
             off = np.cumsum(size) - size
             n = size[inv]
             upto = np.cumsum(n)
@@ -134,6 +135,7 @@ def token_ids(column: pa.Array, name: str) -> Iterator[np.ndarray]:
             if plain[k]:
                 yield out[before[k] : before[k + 1]]
             else:
+                st["whole"] = st["whole"] or st["load"]()
                 yield np.array(st["whole"].encode(text[offs[k] : offs[k + 1]].decode(), add_special_tokens=False).ids, np.uint32)
 
 

@@ -33,7 +33,7 @@ from veilscan.llm.graph import bitmap
 from veilscan.llm.work import Work
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Words of 8 bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 4
 

@@ -21,7 +21,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at once; bounds a worker's memory (about 60 times this).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _pw = np.ones(1, U)
 _ipw = np.ones(1, U)
