@@ -22,6 +22,11 @@ def blank(src: str) -> str:
     return re.sub(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'', quoted, src, flags=re.S)
 
 
+def uncommented(src: str) -> str:
+    """The same length and lines, with comments blanked only."""
+    return re.sub(r'"(?:\\\\.|[^"\\\\])*"|//[^\n]*|/\*.*?\*/', lambda m: m[0] if m[0][0] == '"' else re.sub(r"[^\n]", " ", m[0]), src, flags=re.S)
+
+
 def balanced(code: str, at: int) -> int:
     """The place behind the bracket that closes the one at ``at``; -1 if none does."""
     depth = 0
@@ -123,6 +128,7 @@ def functions(src: str, descend: bool = True) -> Iterator[tuple[str, int, list[t
     for kind, name, _, head, body, end in items(src, code, 0, len(code), descend):
         if kind != "fn":
             continue
+        src = uncommented(src)
         open_ = code.index("(", head)
         params = []
         for a, e in pieces(code, open_ + 1, balanced(code, open_) - 1):
