@@ -291,23 +291,19 @@ def bitmap_of_hashes(ids: DataFrame) -> tuple[bytes, int]:
     return bitmap(ids.mapInArrow(mixed, "h long"), "h")
 
 
-def _strip(columns: int, digest: bool):
-    """Texts without the lines named in the last column."""
-
-    def run(batches):
-        for b in batches:
-            id_, text, nums = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            out = []
-            for t, gone in zip(text, nums, strict=True):
-                lines = (t or "").split("\n")
-                left = [x for i, x in enumerate(lines) if i not in set(gone or ())] if gone else lines
-                out.append((len(lines), len(gone or ()), "\n".join(left)))
-            yield pa.RecordBatch.from_arrays(
-                [id_, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([len(x[2]) for x in out], pa.int64()), pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in out], pa.string())],
-                ["id", "n_lines", "n_removed", "kept_chars", "kept_sha256"],
-            )
-
-    return run
+def _strip(batches):
+    """Counts and digests of texts without the lines named in the last column."""
+    for b in batches:
+        id_, text, nums = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+        out = []
+        for t, gone in zip(text, nums, strict=True):
+            lines, drop = (t or "").split("\n"), set(gone or ())
+            left = [x for i, x in enumerate(lines) if i not in drop]
+            out.append((len(lines), len(gone or ()), "\n".join(left)))
+        yield pa.RecordBatch.from_arrays(
+            [id_, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([len(x[2]) for x in out], pa.int64()), pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in out], pa.string())],
+            ["id", "n_lines", "n_removed", "kept_chars", "kept_sha256"],
+        )
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -316,7 +312,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     gone = gone_lines(work, src, **options).withColumnRenamed("id", "gid")
     hit = src.join(gone, F.coalesce("id", F.lit(LAST)) == F.col("gid"), "left").select("id", "text", "numbers")
-    return hit.mapInArrow(_strip(3, True), "id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return hit.mapInArrow(_strip, "id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -324,8 +320,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Work(docs.sparkSession, "lines")
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     gone = gone_lines(work, src, **options).withColumnRenamed("id", "_gid")
+    gone = gone.withColumnRenamed("numbers", "__gone_lines")
     hit = docs.join(gone, F.coalesce(docs[id_col], F.lit(LAST)) == F.col("_gid"), "left")
-    left = F.expr(f"filter(transform(split(`{text_col}`, '\\n', -1), (x, i) -> if(array_contains(numbers, i), null, x)), x -> x is not null)")
-    text = F.when(F.col("numbers").isNull(), hit[text_col]).otherwise(F.array_join(left, "\n"))
-    out = hit.withColumn("_left", text).where(F.col("numbers").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_left").alias(c) if c == text_col else hit[c] for c in docs.columns])
+    parts = f"split(`{text_col}`, '\\n', -1)"
+    left = F.expr(f"transform(array_except(sequence(0, size({parts}) - 1), __gone_lines), i -> {parts}[i])")
+    text = F.when(F.col("__gone_lines").isNull(), hit[text_col]).otherwise(F.array_join(left, "\n"))
+    out = hit.withColumn("__left_text", text).where(F.col("__gone_lines").isNull() | F.col("__left_text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("__left_text").alias(c) if c == text_col else out[c] for c in docs.columns])

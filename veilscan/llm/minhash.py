@@ -91,8 +91,8 @@ def _sketch(width: int):
 def _sets(width: int):
     def run(batches):
         for b in batches:
-            packed = [tv.pack(np.unique(s >> U(16))) for s in shingle_sets(b.column(1), width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+            packed = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), tv.pack(np.unique(s >> U(16)))) for s in shingle_sets(b.column(1), width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))], ["node", "set_id", "shingles"])
 
     return run
 
@@ -168,12 +168,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = classes.select("set_id", F.col("node").alias("component"))
     else:
         work.drop(members)
-        wanted = work.save(shared.select(F.col("node").alias("id")).distinct())
+        wanted = work.save(shared.select("node").distinct().join(classes.select("node", "set_id"), "node"))
         # the bitmap keeps texts of no bucket from travelling; the join is exact
-        words, log = bitmap(wanted.select(F.xxhash64("id").alias("h")), "h")
+        words, log = bitmap(wanted.select(F.xxhash64("node").alias("h")), "h")
         words = spark.sparkContext.broadcast(words)
         likely = docs.withColumn("h", F.xxhash64("id")).mapInArrow(_likely(words, log), "id long, text string")
-        sets = likely.mapInArrow(_sets(width), "node long, shingles binary").join(wanted.withColumnRenamed("id", "node"), "node", "left_semi").dropDuplicates(["node"])
+        sets = likely.mapInArrow(_sets(width), "node long, set_id binary, shingles binary").join(wanted, ["node", "set_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
         sets = work.save(sets)
 
         def linked(pairs: DataFrame) -> DataFrame:
@@ -194,6 +194,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = work.save(comp)
     return (
         one.join(comp, "set_id", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
         .withColumn("kept", F.expr(f"`{id_col}` <=> component_id"))
     )

@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 def quality(text: Column) -> Column:
     """From 0.25 to 1: less for texts with many signs of markup."""
     signs = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    return F.coalesce(F.greatest(F.lit(0.25), 1 - 4 * signs / F.length(text)), F.lit(0.25))
+    return F.coalesce(F.greatest(F.lit(0.25), 1 - F.try_divide(4 * signs, F.length(text))), F.lit(0.25))
 
 
 def uniform(id_: Column, seed: int) -> Column:
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: rows not taken go, rows taken twice stand twice. Ids must be those of rows."""
     id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).where("epochs > 0").groupBy(F.col(id_col).alias("_id"), "size").agg(F.max("epochs").alias("_times"))
-    sized = docs.withColumn("_size", words(docs[options.get("text_col", "text")]))
-    hit = sized.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")))
-    return hit.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[hit[c] for c in docs.columns])
+    plan = mix(docs, **options).where("epochs > 0").groupBy(F.col(id_col).alias("__mix_id"), F.col("size").alias("__mix_words")).agg(F.max("epochs").alias("__mix_times"))
+    sized = docs.withColumn("__mix_size", words(docs[options.get("text_col", "text")]))
+    hit = sized.join(plan, sized[id_col].eqNullSafe(F.col("__mix_id")) & (F.col("__mix_size") == F.col("__mix_words")))
+    return hit.withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*docs.columns)

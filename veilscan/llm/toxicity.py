@@ -116,6 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # one task, for at most ``bound`` texts, in an order that does not depend on the cluster
     one = texts.dropDuplicates(["id"]).coalesce(1).sortWithinPartitions(F.xxhash64("id")).select("text", "y")
     rows = one.mapInArrow(_fit(bits, epochs, options), "at long, w double").collect()
+    if not rows:
+        return np.array([1 << bits]), np.array([-50.0])
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
 
 
