@@ -259,7 +259,7 @@ def gone_lines(work: Work, docs: DataFrame, reach: int = 2, least: int = 30) ->
     sent = work.save(docs.mapInArrow(_first_pass(reach, least, bits), SENT))
     firsts = work.save(sent.where("kind = 'line'").groupBy("shard").applyInArrow(_firsts, "node long, id long, number int, gone boolean"))
     gone = sent.where("kind = 'gone'").select("a", "b").mapInArrow(_unpacked, "id long, number int").unionByName(firsts.where("gone").select("id", "number"))
-    members = work.save(sent.where("kind = 'key'").groupBy("shard").applyInArrow(_meet, "bucket long, node long"))
+    members = members_table = work.save(sent.where("kind = 'key'").groupBy("shard").applyInArrow(_meet, "bucket long, node long"))
     if not members.isEmpty():
         wanted = members.select("node").distinct()
         words, log = bitmap_of_hashes(wanted)
@@ -278,7 +278,9 @@ def gone_lines(work: Work, docs: DataFrame, reach: int = 2, least: int = 30) ->
             place = firsts.where("not gone").join(comp, "node").select("component", F.struct("id", "number").alias("p"))
             best = place.groupBy("component").agg(F.min("p").alias("best"))
             gone = gone.unionByName(place.join(best, "component").where("p <> best").select("p.id", "p.number"))
-    return work.save(gone.groupBy("id").agg(F.sort_array(F.collect_set("number")).alias("numbers")))
+    out = work.save(gone.groupBy("id").agg(F.sort_array(F.collect_set("number")).alias("numbers")))
+    work.drop(sent, firsts, members_table)
+    return out
 
 
 def bitmap_of_hashes(ids: DataFrame) -> tuple[bytes, int]:

@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.join(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "bucket", "left_semi")
     shared = work.save(shared)
     if shared.isEmpty():
-        comp = classes.select("set_id", F.col("node").alias("component"))
+        comp = work.save(classes.select("set_id", F.col("node").alias("component")))
     else:
         work.drop(members)
         wanted = work.save(shared.select("node").distinct().join(classes.select("node", "set_id"), "node"))
@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = resolve(work, shared, linked, percent, bitmaps)
         comp = components(work, edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         # the smallest id of a component's classes is the smallest of all its texts: a class goes by its smallest
-        comp = classes.join(comp, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    comp = work.save(comp)
+        comp = work.save(classes.join(comp, "node", "left").select("set_id", F.coalesce("component", "node").alias("component")))
+        work.drop(shared, wanted, sets)
     return (
         one.join(comp, "set_id", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

@@ -360,7 +360,9 @@ def repeated_spans(work: Work, docs: DataFrame, span: int = 400, gram: int = 200
     sent = work.save(docs.mapInArrow(_second_pass(span, gram, bits, wanted, mixed), SENT))
     spans = sent.where("kind = 'at'").groupBy("shard").applyInArrow(_resolve(span, gram, mixed), "id long, th long, s int, e int")
     spans = spans.unionByName(sent.where("kind = 'span'").select("where").mapInArrow(_settled(span), "id long, th long, s int, e int"))
-    return work.save(spans.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
+    out = work.save(spans.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
+    work.drop(found, sent)
+    return out
 
 
 def _report(batches):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
+from veilscan.llm.work import Work
 
 U = np.uint64
 #: Signs within and around words, which go before words are cut.
@@ -110,6 +111,7 @@ def _score(weights, bits: int):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, bound: int = 20_000, epochs: int = 4, **options) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) from the labelled texts; those of ``labels`` with the ``bound`` smallest digests of ids."""
+    Work(docs.sparkSession, "toxicity")  # small Arrow batches
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null")
     some = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(some), "id")
@@ -123,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = 20) -> DataFrame:
     """One row per row of docs: id, score (0 to 1), predicted (1 if the score is 0.5 or more)."""
+    Work(docs.sparkSession, "toxicity")
     w = docs.sparkSession.sparkContext.broadcast(weights)
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(_score(w, bits), "id long, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,7 +31,7 @@ class Work:
         ship(spark)
         self.root = f"{shared_dir(spark)}/veilscan-{what}-{uuid.uuid4().hex}"
         self.n = 0
-        self.at: dict[int, str] = {}
+        atexit.register(self.close)
         # Small Arrow batches: texts may be very long, and a batch is held whole by a Python worker.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
@@ -39,16 +41,22 @@ class Work:
         path = f"{self.root}/{self.n:03d}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
         out._veilscan_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._veilscan_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(t._veilscan_path)
+
+    def close(self) -> None:
+        """All that is left, when the driver ends: results may read it until then."""
+        with contextlib.suppress(Exception):
+            self._delete(self.root)
+
+    def _delete(self, at: str) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def named(df: DataFrame, *columns: str) -> DataFrame:
