@@ -12,14 +12,25 @@ from veilscan.functions.text import confidence_label, severity_rank, severity_we
 FINDING = "id string, title string, severity string, file string, line int, code_snippet string, recommendation string, confidence int, evidence array<string>"
 
 
-def finding(df: DataFrame, id_: str, title: str, severity: Column | str, file: Column, line: Column, snippet: Column, recommendation: str, confidence: Column | int = 80, evidence: Column | None = None) -> DataFrame:
-    """Rows of df as findings; confidence is 100 at most."""
+def rule(when: Column | bool, id_: str, title: Column | str, severity: Column | str, file: Column, line: Column, snippet: Column, recommendation: str, confidence: Column | int = 80, evidence: Column | None = None) -> Column:
+    """A finding where the condition holds, else null; confidence is 100 at most."""
     lit = lambda x: F.lit(x) if not isinstance(x, Column) else x
     empty = F.array().cast("array<string>")
-    return df.select(
+    one = F.struct(
         F.lit(id_).alias("id"), lit(title).alias("title"), lit(severity).alias("severity"), file.alias("file"), line.cast("int").alias("line"), snippet.alias("code_snippet"),
         F.lit(recommendation).alias("recommendation"), F.least(F.lit(100), lit(confidence)).cast("int").alias("confidence"), (evidence if evidence is not None else empty).alias("evidence"),
     )
+    return F.when(lit(when), one)
+
+
+def found(df: DataFrame, rules: list[Column]) -> DataFrame:
+    """All findings of the rules, in one pass over df."""
+    return df.select(F.explode(F.array_compact(F.array(*rules))).alias("f")).select("f.*")
+
+
+def finding(df: DataFrame, *args, **more) -> DataFrame:
+    """Every row of df as a finding (arguments as of ``rule``)."""
+    return found(df, [rule(True, *args, **more)])
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

@@ -12,7 +12,7 @@ from veilscan.functions import text as T
 from veilscan.operators import lines as L
 from veilscan.operators import taint
 from veilscan.operators.joins import suppression_marks, unsuppressed
-from veilscan.operators.report import finding, union
+from veilscan.operators.report import finding, found, rule, union
 from veilscan.sources.rust import matches, struct_fields
 
 
@@ -32,10 +32,10 @@ def secret_findings(files: DataFrame) -> DataFrame:
     numbers = F.regexp_count(t, F.lit(r"\b[0-9]{1,3}\s*,"))
     key = t.rlike('"[1-9A-HJ-NP-Za-km-z]{87,88}"') | t.rlike('"(0x)?[0-9a-fA-F]{64,128}"') | t.rlike('"[A-Za-z0-9+/]{86}=="') | (numbers >= 31)
     words = F.regexp_extract(t, '"([a-z]+(?: [a-z]+){11,23})"', 1)
-    return union([
-        finding(ls.where(key), "PRIV-001", "Private key in source", "CRITICAL", *at, "Load keys at run time.", 95),
-        finding(ls.where((words != "") & F.size(F.split(words, " ")).isin(12, 15, 18, 21, 24)), "PRIV-002", "Mnemonic in source", "CRITICAL", *at, "Load phrases at run time.", 92),
-        finding(ls.where(t.rlike(r'(?i)seed\w*\s*(:[^=]*)?=\s*b"[^"]{8,}"')), "PRIV-003", "Seed bytes in source", "CRITICAL", *at, "Derive seeds from secrets that are not in the source.", 88),
+    return found(ls, [
+        rule(key, "PRIV-001", "Private key in source", "CRITICAL", *at, "Load keys at run time.", 95),
+        rule((words != "") & F.size(F.split(words, " ")).isin(12, 15, 18, 21, 24), "PRIV-002", "Mnemonic in source", "CRITICAL", *at, "Load phrases at run time.", 92),
+        rule(t.rlike(r'(?i)seed\w*\s*(:[^=]*)?=\s*b"[^"]{8,}"'), "PRIV-003", "Seed bytes in source", "CRITICAL", *at, "Derive seeds from secrets that are not in the source.", 88),
     ])
 
 
@@ -44,14 +44,15 @@ def pii_findings(files: DataFrame, structs: DataFrame | None = None) -> DataFram
     public = f.where("is_pub and not (is_context and not is_account)")
     kind, secret = K.pii_kind("field", "type", "struct"), K.secret_kind("field")
     at = (F.col("file"), F.col("line"), F.concat("struct", F.lit("."), "field", F.lit(": "), "type"))
-    pii = public.withColumn("kind", kind).where("kind is not null")
-    hidden = public.withColumn("kind", secret).where("kind is not null")
+    public = public.withColumn("kind", kind).withColumn("hidden", secret)
     low = F.lower("struct")
     whole = f.where(T.contains_any(low, ["user", "profile", "identity", "member", "person"]) & F.col("is_account") & F.col("is_pub") & F.col("type").contains("String") & ~K.is_safe_field("field", "type", "struct"))
     whole = whole.groupBy("file", "struct").agg(F.min("struct_line").alias("line"))
     return union([
-        finding(pii, "PRIV-004", F.concat(F.lit("Personal data in field: "), F.col("kind")), "HIGH", *at, "Keep personal data off the ledger.", K.pii_confidence("field", "type", "struct", F.col("is_account"), "kind"), F.array(F.col("kind"))),
-        finding(hidden, "PRIV-005", F.concat(F.lit("Secret in field: "), F.col("kind")), "HIGH", *at, "Never store secrets.", K.secret_confidence("field", "type"), F.array(F.col("kind"))),
+        found(public, [
+            rule(F.col("kind").isNotNull(), "PRIV-004", F.concat(F.lit("Personal data in field: "), F.col("kind")), "HIGH", *at, "Keep personal data off the ledger.", K.pii_confidence("field", "type", "struct", F.col("is_account"), "kind"), F.array(F.col("kind"))),
+            rule(F.col("hidden").isNotNull(), "PRIV-005", F.concat(F.lit("Secret in field: "), F.col("hidden")), "HIGH", *at, "Never store secrets.", K.secret_confidence("field", "type"), F.array(F.col("hidden"))),
+        ]),
         finding(whole, "PRIV-004", "Account of personal data", "HIGH", F.col("file"), F.col("line"), F.col("struct"), "Encrypt or hash personal data.", 85),
     ])
 
@@ -63,10 +64,11 @@ def log_findings(files: DataFrame) -> DataFrame:
     ls = ls.where("not module and not in_test").where(~F.ltrim("text").startswith("//") & ~F.ltrim("text").startswith("*"))
     t, at = F.col("text"), (F.col("file"), F.col("line_no"), F.trim(F.col("text")))
     word = T.first_contained(F.lower(t), vocab.LOG_WORDS)
+    ls = ls.withColumn("word", word)
     title = F.concat(F.lit("Sensitive word in log: "), F.col("word"))
-    parts = [finding(ls.where(t.rlike(p)).withColumn("word", word).where("word is not null"), "PRIV-006", title, "MEDIUM", *at, "Log no sensitive values.") for p in (r'msg!\s*\(\s*"[^"]*\{[^}]*\}[^"]*"', r"sol_log\s*\([^)]+\)")]
-    parts += [finding(ls.where(t.rlike(p)), "PRIV-007", f"Debug output: {n}", "LOW", *at, "Remove debug output.") for n, p in (("println", r"println!\s*\("), ("dbg", r"dbg!\s*\("), ("debug", r"debug!\s*\("))]
-    return union(parts)
+    rules = [rule(t.rlike(p) & F.col("word").isNotNull(), "PRIV-006", title, "MEDIUM", *at, "Log no sensitive values.") for p in (r'msg!\s*\(\s*"[^"]*\{[^}]*\}[^"]*"', r"sol_log\s*\([^)]+\)")]
+    rules += [rule(t.rlike(p), "PRIV-007", f"Debug output: {n}", "LOW", *at, "Remove debug output.") for n, p in (("println", r"println!\s*\("), ("dbg", r"dbg!\s*\("), ("debug", r"debug!\s*\("))]
+    return found(ls, rules)
 
 
 def access_findings(files: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def anchor_findings(files: DataFrame, structs: DataFrame | None = None) -> DataF
         "raw": (r"(?:try_from_slice|try_borrow_data)\s*\(", 300, 300), "cpi": (r"invoke(?:_signed)?\s*\(", 500, 300), "close": (r"close\s*=\s*(\w+)", 100, 200),
         "init": (r"#\[account\s*\(\s*init_if_needed[^\]]*\]", 0, 2000), "math": (r"(?:amount|balance|lamports|total|fee|price)\s*[\+\-\*]\s*", 100, 100),
     })
-    around, rule = F.concat("before", "after"), lambda r: m.where(F.col("rule") == r)
+    around, of = F.concat("before", "after"), lambda r: F.col("rule") == r
     at = (F.col("file"), F.col("line"), F.trim(F.col("line_text")))
     lacks = lambda c, ws: ~T.contains_any(c, ws)
     body = F.regexp_extract("after", r"^([^\n]*\n?[^\n;}]*)", 1)
@@ -115,21 +117,25 @@ def anchor_findings(files: DataFrame, structs: DataFrame | None = None) -> DataF
     ls = ls.withColumn("checked", marks).withColumn("seeded", seeded).withColumn("body", L.context("file", 0, 9))
     la = (F.col("file"), F.col("line_no"), F.trim(F.col("text")))
     word = T.first_contained(F.lower(F.regexp_extract("body", r"(?s)emit!\s*\(\s*\w+\s*\{(.*)", 1)), vocab.EVENT_WORDS)
-    emit = ls.where(F.col("text").rlike(r"emit!\s*\(\s*(\w+)\s*\{")).withColumn("word", word).where("word is not null")
+    ls = ls.withColumn("word", F.when(F.col("text").rlike(r"emit!\s*\(\s*(\w+)\s*\{"), word))
     said = F.lower("body")
     emit_conf = F.lit(65) + F.when(F.col("word").isin("user", "owner", "authority", "recipient", "sender"), 15).otherwise(0) - F.when(F.col("word").isin("amount", "fee", "price", "balance"), 10).otherwise(0) + F.when(T.contains_any(said, ["pubkey", "key()"]), 10).otherwise(0)
     return union([
         finding(pda, "PRIV-010", "Predictable address", "MEDIUM", F.col("file"), F.col("line"), F.concat(F.lit("seeds = ["), F.col("seeds"), F.lit("]")), "Add a seed that can't be guessed.", F.greatest(F.lit(20), F.least(F.lit(95), pda_conf))),
-        finding(emit, "PRIV-006", F.concat(F.lit("Sensitive word in event: "), F.col("word")), "MEDIUM", *la, "Emit hashed identifiers.", F.greatest(F.lit(30), F.least(F.lit(90), emit_conf))),
-        finding(rule("signer").where(lacks(around, ["Signer<", "has_one", "constraint"])), "PRIV-011", "Authority without signer", "HIGH", *at, "Require a signer.", 65),
-        finding(rule("mut").where(lacks(F.concat("match", body), ["init", "constraint", "has_one", "seeds", "close", "Signer<", "Program<", "system_program", "rent"])), "PRIV-008", "State may be uninitialised", "HIGH", *at, "Check that the account is initialised.", F.when(body.contains("Account<"), 70).otherwise(85)),
-        finding(rule("raw").where(lacks(around, ["discriminator", "DISCRIMINATOR"])), "PRIV-008", "Data read without discriminator", "MEDIUM", *at, "Check the discriminator.", 75),
-        finding(ls.where(F.col("text").contains("UncheckedAccount<'info>") & ~F.col("checked") & ~F.col("seeded")), "PRIV-012", "Unchecked account", "MEDIUM", *la, "Say why it needs no check, or check it.", 75),
-        finding(ls.where(F.col("text").contains("AccountInfo<'info>") & ~F.col("checked") & lacks("text", ["system_program", "rent"])), "PRIV-012", "Raw account", "LOW", *la, "Say why it needs no check, or check it.", 55),
-        finding(rule("cpi").where(~around.rlike(r"Program<'info,\s*\w+>") & lacks(around, ["program.key()", "program_id", "token_program", "system_program", "cpi::"])), "PRIV-013", "Call of an unchecked program", "HIGH", *at, "Check the program.", 60),
-        finding(rule("close").where(lacks(around, ["discriminator", "is_initialized"])), "PRIV-014", "Closing may be undone", "MEDIUM", *at, "Clear the discriminator.", 55),
-        finding(rule("init").where(lacks("match", ["constraint", "has_one", "realloc"])), "PRIV-015", "Initialised again", "HIGH", *at, "Add a constraint.", 75),
-        finding(rule("math").where(lacks(around, ["checked_", "saturating_", "try_", "unwrap_or", "?"]) & lacks("line_text", ["#[test]", "assert"])), "PRIV-016", "Unchecked arithmetic", "MEDIUM", *at, "Use checked arithmetic.", 50),
+        found(ls, [
+            rule(F.col("word").isNotNull(), "PRIV-006", F.concat(F.lit("Sensitive word in event: "), F.col("word")), "MEDIUM", *la, "Emit hashed identifiers.", F.greatest(F.lit(30), F.least(F.lit(90), emit_conf))),
+            rule((F.col("text").contains("UncheckedAccount<'info>") & ~F.col("checked") & ~F.col("seeded")), "PRIV-012", "Unchecked account", "MEDIUM", *la, "Say why it needs no check, or check it.", 75),
+            rule((F.col("text").contains("AccountInfo<'info>") & ~F.col("checked") & lacks("text", ["system_program", "rent"])), "PRIV-012", "Raw account", "LOW", *la, "Say why it needs no check, or check it.", 55),
+        ]),
+        found(m, [
+            rule(of("signer") & (lacks(around, ["Signer<", "has_one", "constraint"])), "PRIV-011", "Authority without signer", "HIGH", *at, "Require a signer.", 65),
+            rule(of("mut") & (lacks(F.concat("match", body), ["init", "constraint", "has_one", "seeds", "close", "Signer<", "Program<", "system_program", "rent"])), "PRIV-008", "State may be uninitialised", "HIGH", *at, "Check that the account is initialised.", F.when(body.contains("Account<"), 70).otherwise(85)),
+            rule(of("raw") & (lacks(around, ["discriminator", "DISCRIMINATOR"])), "PRIV-008", "Data read without discriminator", "MEDIUM", *at, "Check the discriminator.", 75),
+            rule(of("cpi") & (~around.rlike(r"Program<'info,\s*\w+>") & lacks(around, ["program.key()", "program_id", "token_program", "system_program", "cpi::"])), "PRIV-013", "Call of an unchecked program", "HIGH", *at, "Check the program.", 60),
+            rule(of("close") & (lacks(around, ["discriminator", "is_initialized"])), "PRIV-014", "Closing may be undone", "MEDIUM", *at, "Clear the discriminator.", 55),
+            rule(of("init") & (lacks("match", ["constraint", "has_one", "realloc"])), "PRIV-015", "Initialised again", "HIGH", *at, "Add a constraint.", 75),
+            rule(of("math") & (lacks(around, ["checked_", "saturating_", "try_", "unwrap_or", "?"]) & lacks("line_text", ["#[test]", "assert"])), "PRIV-016", "Unchecked arithmetic", "MEDIUM", *at, "Use checked arithmetic.", 50),
+        ]),
     ])
 
 
