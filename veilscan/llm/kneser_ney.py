@@ -192,7 +192,7 @@ class Model:
 
 def train(work: Work, docs: DataFrame, text_col: str, lang_col: str, most: int = 2_000_000) -> Model:
     """Counts all of docs; ``most`` bounds the stored events, and the stored words."""
-    bits = min(16, max(4, int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
+    bits = min(16, max(6, 2 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
     sent = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).mapInArrow(_count(bits), SENT)
     shards = work.save(sent.groupBy("lang", "shard").applyInArrow(_shard, SENT))
     words = work.save(shards.where("kind = 'word'").groupBy("lang", "shard").applyInArrow(_words, SENT))

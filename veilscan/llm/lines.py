@@ -165,9 +165,12 @@ def _first_pass(k: int, least: int, bits: int):
             h, d, no = h[new], d[new], no[new]
             rows += [("line", x, tv.pack(h[at]), d[at].tobytes(), no[at].tobytes()) for x, at in cuts(h)]
             keys, of = (np.concatenate([x[i] for x in held]) for i in (3, 4))
-            both = np.unique(np.rec.fromarrays([keys, of])) if len(keys) else np.rec.fromarrays([keys, of])
-            rows += [("key", x, tv.pack(np.ascontiguousarray(both.f0[at])), both.f1[at].tobytes(), None) for x, at in cuts(both.f0)]
             held.clear()
+            order = np.lexsort((of, keys))
+            keys, of = keys[order], of[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])[: len(keys)]
+            keys, of = keys[new], of[new]
+            rows += [("key", x, tv.pack(keys[at]), of[at].tobytes(), None) for x, at in cuts(keys)]
             return _rows(rows)
 
         for b in batches:

@@ -88,17 +88,21 @@ def _sketch(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, words, log: int):
+    """(node, set_id, shingles) of the rows whose hash is in the bitmap."""
+
     def run(batches):
+        bits = np.frombuffer(words.value, U)
         for b in batches:
+            x = b.column(2).to_numpy().view(U) >> U(64 - log)
+            keep = bits[(x >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1)
+            b = b.select([0, 1]).filter(pa.array(keep.astype(bool)))
             packed = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), tv.pack(np.unique(s >> U(16)))) for s in shingle_sets(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))], ["node", "set_id", "shingles"])
 
     return run
 
 
-
-
 def _parities(batches):
     """(node, bits): the parity of the number of shingles in each of 64 * WORDS classes."""
     for b in batches:
@@ -110,19 +114,6 @@ def _parities(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "bits"])
 
 
-def _likely(words, log: int):
-    """(id, text) of rows whose hash is in the bitmap."""
-
-    def run(batches):
-        bits = np.frombuffer(words.value, U)
-        for b in batches:
-            x = b.column(2).to_numpy().view(U) >> U(64 - log)
-            keep = bits[(x >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1)
-            yield b.select([0, 1]).filter(pa.array(keep.astype(bool)))
-
-    return run
-
-
 def _confirm(percent: int):
     """Pairs with both packed sets -> those whose similarity is high enough."""
 
@@ -172,8 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # the bitmap keeps texts of no bucket from travelling; the join is exact
         words, log = bitmap(wanted.select(F.xxhash64("node").alias("h")), "h")
         words = spark.sparkContext.broadcast(words)
-        likely = docs.withColumn("h", F.xxhash64("id")).mapInArrow(_likely(words, log), "id long, text string")
-        sets = likely.mapInArrow(_sets(width), "node long, set_id binary, shingles binary").join(wanted, ["node", "set_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+        sets = docs.withColumn("h", F.xxhash64("id")).mapInArrow(_sets(width, words, log), "node long, set_id binary, shingles binary").join(wanted, ["node", "set_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
         sets = work.save(sets)
 
         def linked(pairs: DataFrame) -> DataFrame:

@@ -394,17 +394,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(work, src, span, span // 2).withColumnsRenamed({"id": "i", "th": "t"})
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select("t").distinct(), "t"))
 
-    def may(hit: bool):
-        def run(batches):
-            w, log = np.frombuffer(bits.value[0], U), bits.value[1]
-            for b in batches:
-                yield b.filter(pa.array(_in(w, log, b.column(1).to_numpy().view(U)) == hit))
+    def filtered(batches, hit: bool):
+        w, log = np.frombuffer(bits.value[0], U), bits.value[1]
+        for b in batches:
+            yield b.filter(pa.array(_in(w, log, b.column(1).to_numpy().view(U)) == hit))
+
+    def likely(batches):
+        yield from filtered(batches, True)
 
-        return run
+    def untouched(batches):
+        for b in filtered(batches, False):
+            b = b.append_column("spans", pa.nulls(b.num_rows, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))))
+            yield from _report([b.select([0, 2, 3])])
 
     # a text without removed bytes is done where it is read
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    clear = src.mapInArrow(may(False), src.schema).select("id", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
-    some = src.mapInArrow(may(True), src.schema)
-    hit = some.join(spans, (F.coalesce("id", F.lit(2**63 - 1)) == F.col("i")) & (F.col("th") == F.col("t")), "left").select("id", "text", "spans")
-    return clear.mapInArrow(_report, out).unionByName(hit.mapInArrow(_report, out)).withColumnRenamed("id", id_col)
+    hit = src.mapInArrow(likely, src.schema).join(spans, (F.coalesce("id", F.lit(2**63 - 1)) == F.col("i")) & (F.col("th") == F.col("t")), "left").select("id", "text", "spans")
+    return src.mapInArrow(untouched, out).unionByName(hit.mapInArrow(_report, out)).withColumnRenamed("id", id_col)
