@@ -142,7 +142,7 @@ def _in(bits: np.ndarray, log: int, h: np.ndarray) -> np.ndarray:
 
 def _second_pass(span: int, gram: int, bits: int, wanted, mixed):
     """'at' rows: the anchors that occur twice, by shard, with their places and, if surroundings differ, these (left
-    backwards, right, zero-padded); 'span' rows: places settled by equal surroundings in the same block."""
+    backwards, right, zero-padded); 'span' rows, dealt to shards below 0: places settled by equal surroundings in the same block."""
     import zstandard
 
     side = span - gram
@@ -154,35 +154,40 @@ def _second_pass(span: int, gram: int, bits: int, wanted, mixed):
         for batch in batches:
             ids = np.array([np.iinfo(np.int64).max if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             th = batch.column(1).to_numpy()
-            rows = []
+            rows, held = [], []
             for i, _, data, offs in tv.blocks(batch.column(2), BLOCK):
                 row, pos, a, b, g, c = anchors(data, offs, span, gram)
                 some = _in(w, wl, g) if len(g) else np.zeros(0, bool)
                 if not some.any():
                     continue
                 row, pos, a, b, g, c = (x[some] for x in (row, pos, a, b, g, c))
+                place = np.zeros(len(g), PLACE)
+                place["id"], place["th"], place["pos"], place["a"], place["b"] = ids[i + row], th[i + row], pos - offs[row], a, b
                 order = np.lexsort((pos, c, g))
-                row, pos, a, b, g, c = (x[order] for x in (row, pos, a, b, g, c))
+                pos, a, b, g, c, place = (x[order] for x in (pos, a, b, g, c, place))
                 new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
                 at = np.flatnonzero(new)
                 n = np.diff(np.append(at, len(g)))
-                place = np.zeros(len(g), PLACE)
-                place["id"], place["th"], place["pos"], place["a"], place["b"] = ids[i + row], th[i + row], pos - offs[row], a, b
                 place["twice"] = np.repeat(n > 1, n)
-                rows.append(("span", -1, None, None, place[place["twice"] == 1].tobytes(), None))
-                for s, x in _cuts(g[at], bits):
-                    pick = at[x]
-                    texts = None
-                    mix = _in(m, ml, g[pick])
-                    if mix.any():
-                        p = pick[mix]
-                        step = np.arange(side)
-                        left = data[np.maximum(pos[p, None] - 1 - step, 0)]
-                        left[step >= a[p, None]] = 0
-                        right = data[np.minimum(pos[p, None] + gram + step, len(data) - 1)]
-                        right[step >= b[p, None] - gram] = 0
-                        texts = squeeze(np.concatenate([left, right], axis=1).tobytes())
-                    rows.append(("at", s, tv.pack(g[pick]), c[pick].tobytes(), place[pick].tobytes(), texts))
+                again = place[place["twice"] == 1]
+                if len(again):
+                    rows.append(("span", -1 - int(again["th"][0]) % 4096, None, None, again.tobytes(), None))
+                mix = _in(m, ml, g[at])
+                p = at[mix]
+                step = np.arange(side)
+                left = data[np.maximum(pos[p, None] - 1 - step, 0)]
+                left[step >= a[p, None]] = 0
+                right = data[np.minimum(pos[p, None] + gram + step, len(data) - 1)]
+                right[step >= b[p, None] - gram] = 0
+                held.append((g[at], c[at], place[at], mix, np.concatenate([left, right], axis=1)))
+            if held:
+                g, c, place, mix, text = (np.concatenate([x[k] for x in held]) for k in range(5))
+                order = np.lexsort((c, g))
+                line = (np.cumsum(mix) - 1)[order]
+                g, c, place, mix = g[order], c[order], place[order], mix[order]
+                for s, x in _cuts(g, bits):
+                    texts = squeeze(text[line[x][mix[x]]].tobytes()) if mix[x].any() else None
+                    rows.append(("at", s, tv.pack(g[x]), c[x].tobytes(), place[x].tobytes(), texts))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], ["kind", "shard", "k", "c", "where", "texts"])
 
     return run
@@ -297,6 +302,10 @@ def _resolve(span: int, gram: int, mixed):
     def run(t: pa.Table) -> pa.Table:
         import zstandard
 
+        if t["kind"][0].as_py() == "span":
+            p = np.concatenate([np.frombuffer(x.as_py(), PLACE) for x in t["where"]])
+            p = p[p["a"].astype(int) + p["b"] >= span]
+            return _spans(p["id"], p["th"], p["pos"] - p["a"], p["pos"] + p["b"])
         expand = zstandard.ZstdDecompressor().decompress
         m, ml = np.frombuffer(mixed.value[0], U), mixed.value[1]
         ks = [tv.unpack(x.as_py()) for x in t["k"]]
@@ -338,30 +347,18 @@ def _spans(i, t, s, e) -> pa.Table:
     return pa.table({"id": pa.array(i, pa.int64()), "th": pa.array(t, pa.int64()), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
 
 
-def _settled(span: int):
-    def run(batches):
-        for b in batches:
-            for x in b.column(0):
-                p = np.frombuffer(x.as_py(), PLACE)
-                p = p[p["a"].astype(int) + p["b"] >= span]
-                yield from _spans(p["id"], p["th"], p["pos"] - p["a"], p["pos"] + p["b"]).to_batches()
-
-    return run
-
-
 def repeated_spans(work: Work, docs: DataFrame, span: int = 400, gram: int = 200) -> DataFrame:
     """docs (id, th, text) -> (id, th, spans): each text's removed byte ranges, merged, as [start, end] pairs.
     A null id is 2^63 - 1; th is the text's xxhash64."""
-    bits = min(16, max(4, 1 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
+    bits = min(16, max(6, 2 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
     sc = docs.sparkSession.sparkContext
     first = docs.select("text").mapInArrow(_first_pass(span, gram, bits), "shard long, k binary, c binary, twice binary")
     found = work.save(first.groupBy("shard").applyInArrow(_repeated, "gram long, mixed boolean"))
     wanted, mixed = (sc.broadcast(bitmap(x, "gram")) for x in (found, found.where("mixed")))
-    sent = work.save(docs.mapInArrow(_second_pass(span, gram, bits, wanted, mixed), SENT))
-    spans = sent.where("kind = 'at'").groupBy("shard").applyInArrow(_resolve(span, gram, mixed), "id long, th long, s int, e int")
-    spans = spans.unionByName(sent.where("kind = 'span'").select("where").mapInArrow(_settled(span), "id long, th long, s int, e int"))
+    sent = docs.mapInArrow(_second_pass(span, gram, bits, wanted, mixed), SENT)
+    spans = sent.groupBy("shard").applyInArrow(_resolve(span, gram, mixed), "id long, th long, s int, e int")
     out = work.save(spans.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
-    work.drop(found, sent)
+    work.drop(found)
     return out
 
 
