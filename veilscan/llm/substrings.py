@@ -350,7 +350,7 @@ def _spans(i, t, s, e) -> pa.Table:
 def repeated_spans(work: Work, docs: DataFrame, span: int = 400, gram: int = 200) -> DataFrame:
     """docs (id, th, text) -> (id, th, spans): each text's removed byte ranges, merged, as [start, end] pairs.
     A null id is 2^63 - 1; th is the text's xxhash64."""
-    bits = min(16, max(6, 2 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
+    bits = min(16, max(6, 4 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
     sc = docs.sparkSession.sparkContext
     first = docs.select("text").mapInArrow(_first_pass(span, gram, bits), "shard long, k binary, c binary, twice binary")
     found = work.save(first.groupBy("shard").applyInArrow(_repeated, "gram long, mixed boolean"))
