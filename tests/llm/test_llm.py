@@ -101,6 +101,19 @@ def test_line_dedup(docs, none):
         assert within(a, b, k) == (distance(a, b) <= k), (a, b, k)
 
 
+def test_line_dedup_keeps_a_copy_of_repeated_rows(spark):
+    from veilscan.llm.lines import dedup_lines, line_report
+
+    a, b, c, d = (prose(50 + i, 12) for i in range(4))
+    data = [(1, a + "\n" + b), (1, a + "\n" + b), (2, b), (None, c), (None, d), (None, c), (3, a + "\n" + d), (3, d + "\n" + c)]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+        kept = sorted((r.doc_id or 0, r.text) for r in dedup_lines(docs).collect())
+        # a row that repeats another keeps what that keeps; the classes of c and d have their first places in the rows with id 3
+        assert set(kept) == {(1, a + "\n" + b), (3, d + "\n" + c)} and len(kept) == 3
+        assert sorted((r.doc_id or 0, r.n_removed) for r in line_report(docs).collect()) == [(0, 1), (0, 1), (0, 1), (1, 0), (1, 0), (2, 1), (3, 0), (3, 2)]
+
+
 def test_near_duplicates(spark, docs, none):
     from veilscan.llm.minhash import near_duplicates
 

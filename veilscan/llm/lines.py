@@ -2,7 +2,7 @@
 
 Lines (of ``\\n``-split texts, with a word) are one class if they are equal or an edit distance of at most ``reach``
 characters links them, over any chain; lines of fewer than ``least`` characters only if they are equal. The first
-line of a class, by (id, line number), stays in its text; all others go.
+line of a class, by (id, line number, text hash), stays in its text; all others go.
 
 The join: a line is cut into reach + 1 segments of even lengths, of which a line within reach has one unchanged,
 near its place. Each line gives its segments as index entries (length, segment, hash) and, for its own and shorter
@@ -15,8 +15,11 @@ once, so a line that a third of all texts have is one entry a task; its other pl
 read. Texts of candidate lines, and texts that lose lines, are the only texts that travel; a bitmap of bounded
 size picks the first.
 
-Nulls: a null text has no lines; a null id is ordered last. Rows that repeat an id and a text are told apart by
-nothing, so both lose and keep the same lines. An empty table gives none. Extra columns are kept by dedup_lines.
+Rows are told apart by id and a 64-bit hash of the text, and places are distinct (id, line number, text hash): rows
+that repeat an id with other texts lose their own lines only; those that repeat both are one place, so both keep its
+lines if it is a class's first.
+
+Nulls: a null text has no lines; a null id is ordered last. An empty table gives none. Extra columns are kept by dedup_lines.
 """
 
 from __future__ import annotations
@@ -133,20 +136,29 @@ def line_table(column: pa.Array):
         yield i, data, s, e, lead[s], lead[e] - lead[s], row, number, h
 
 
-SENT = "kind string, shard long, a binary, b binary, c binary"
+SENT = "kind string, shard long, a binary, b binary, c binary, d binary"
 
 
 def _rows(rows):
-    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "a", "b", "c"])
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "a", "b", "c", "d"])
 
 
 LAST = np.iinfo(np.int64).max
 
 
+def _places(h, d, no, th):
+    """Distinct places, ordered by line hash, then id, number and text hash; and which are the first of their line."""
+    order = np.lexsort((th, no, d, h))
+    h, d, no, th = h[order], d[order], no[order], th[order]
+    line = np.concatenate([[True], h[1:] != h[:-1]])
+    new = line | np.concatenate([[True], (d[1:] != d[:-1]) | (no[1:] != no[:-1]) | (th[1:] != th[:-1])])
+    return h[new], d[new], no[new], th[new], line[new]
+
+
 def _first_pass(k: int, least: int, bits: int):
-    """Sends 'line' (hashes; ids; numbers) and 'key' (entries; lines) rows by shard, 'gone' rows (ids; numbers) for places that a
-    smaller one of the same batch settles."""
+    """Sends 'line' (hashes; ids; numbers; text hashes) and 'key' (entries; lines) rows by shard, 'gone' rows (ids; numbers; text
+    hashes) for places that a smaller one of the same batch settles."""
 
     def cuts(keys):
         shard = (keys >> U(64 - bits)).astype(np.int64)
@@ -157,24 +169,22 @@ def _first_pass(k: int, least: int, bits: int):
         held, size = [], 0
 
         def flush():
-            h, d, no = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = np.lexsort((no, d, h))
-            h, d, no = h[order], d[order], no[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            rows = [("gone", -1, d[~new].tobytes(), no[~new].tobytes(), None)]
-            h, d, no = h[new], d[new], no[new]
-            rows += [("line", x, tv.pack(h[at]), d[at].tobytes(), no[at].tobytes()) for x, at in cuts(h)]
-            keys, of = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+            h, d, no, th, new = _places(*(np.concatenate([x[i] for x in held]) for i in range(4)))
+            rows = [("gone", -1, d[~new].tobytes(), no[~new].tobytes(), th[~new].tobytes(), None)]
+            h, d, no, th = h[new], d[new], no[new], th[new]
+            rows += [("line", x, tv.pack(h[at]), d[at].tobytes(), no[at].tobytes(), th[at].tobytes()) for x, at in cuts(h)]
+            keys, of = (np.concatenate([x[i] for x in held]) for i in (4, 5))
             held.clear()
             order = np.lexsort((of, keys))
             keys, of = keys[order], of[order]
             new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])[: len(keys)]
             keys, of = keys[new], of[new]
-            rows += [("key", x, tv.pack(keys[at]), of[at].tobytes(), None) for x, at in cuts(keys)]
+            rows += [("key", x, tv.pack(keys[at]), of[at].tobytes(), None, None) for x, at in cuts(keys)]
             return _rows(rows)
 
         for b in batches:
             ids = np.array([LAST if x is None else x for x in b.column(0).to_pylist()], np.int64)
+            own = b.column(2).to_numpy(zero_copy_only=False)
             for i, data, _, _, cs, n, row, number, h in line_table(b.column(1)):
                 long_ = n >= least
                 cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -185,7 +195,7 @@ def _first_pass(k: int, least: int, bits: int):
                 for key, index in entries(ch, cs[where], n[where], k):
                     keys.append(key & ~U(1) | U(index))
                     of.append(h[where])
-                held.append((h, ids[i + row], number.astype(np.int32), np.concatenate(keys), np.concatenate(of)))
+                held.append((h, ids[i + row], number.astype(np.int32), own[i + row], np.concatenate(keys), np.concatenate(of)))
                 size += len(h) + 13 * len(where)
                 if size > 1_500_000:
                     yield flush()
@@ -213,14 +223,13 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _firsts(table: pa.Table) -> pa.Table:
-    """A shard's lines -> (node, id, number, gone): each line's first place, and its other places, marked."""
+    """A shard's lines -> (node, id, number, th, gone): each line's first place, and its other places, marked."""
     h = np.concatenate([tv.unpack(x.as_py()) for x in table["a"]])
     d = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["b"]])
     no = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["c"]])
-    order = np.lexsort((no, d, h))
-    h, d, no = h[order], d[order], no[order]
-    again = np.concatenate([[False], h[1:] == h[:-1]])
-    return pa.table({"node": pa.array(h.view(np.int64)), "id": pa.array(d), "number": pa.array(no, pa.int32()), "gone": pa.array(again)})
+    th = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["d"]])
+    h, d, no, th, first = _places(h, d, no, th)
+    return pa.table({"node": pa.array(h.view(np.int64)), "id": pa.array(d), "number": pa.array(no, pa.int32()), "th": pa.array(th), "gone": pa.array(~first)})
 
 
 def _texts(bits, log: int):
@@ -252,16 +261,16 @@ def _confirm(k: int):
 
 def _unpacked(batches):
     for b in batches:
-        for x, y in zip(b.column(0), b.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)), pa.array(np.frombuffer(y.as_py(), np.int32))], ["id", "number"])
+        for x, y, z in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)), pa.array(np.frombuffer(y.as_py(), np.int32)), pa.array(np.frombuffer(z.as_py(), np.int64))], ["id", "number", "th"])
 
 
 def gone_lines(work: Work, docs: DataFrame, reach: int = 2, least: int = 30) -> DataFrame:
-    """docs (id, text) -> (id, numbers): the line numbers (from 0) each text loses. A null id is 2^63 - 1."""
+    """docs (id, text) -> (id, th, numbers): the line numbers (from 0) each text loses; th is xxhash64 of the text, a null id 2^63 - 1."""
     bits = min(16, max(4, int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
-    sent = work.save(docs.mapInArrow(_first_pass(reach, least, bits), SENT))
-    firsts = work.save(sent.where("kind = 'line'").groupBy("shard").applyInArrow(_firsts, "node long, id long, number int, gone boolean"))
-    gone = sent.where("kind = 'gone'").select("a", "b").mapInArrow(_unpacked, "id long, number int").unionByName(firsts.where("gone").select("id", "number"))
+    sent = work.save(docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(_first_pass(reach, least, bits), SENT))
+    firsts = work.save(sent.where("kind = 'line'").groupBy("shard").applyInArrow(_firsts, "node long, id long, number int, th long, gone boolean"))
+    gone = sent.where("kind = 'gone'").select("a", "b", "c").mapInArrow(_unpacked, "id long, number int, th long").unionByName(firsts.where("gone").select("id", "number", "th"))
     members = members_table = work.save(sent.where("kind = 'key'").groupBy("shard").applyInArrow(_meet, "bucket long, node long"))
     if not members.isEmpty():
         wanted = members.select("node").distinct()
@@ -278,10 +287,10 @@ def gone_lines(work: Work, docs: DataFrame, reach: int = 2, least: int = 30) ->
         if not edges.isEmpty():
             comp = work.save(components(work, edges))
             comp = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
-            place = firsts.where("not gone").join(comp, "node").select("component", F.struct("id", "number").alias("p"))
+            place = firsts.where("not gone").join(comp, "node").select("component", F.struct("id", "number", "th").alias("p"))
             best = place.groupBy("component").agg(F.min("p").alias("best"))
-            gone = gone.unionByName(place.join(best, "component").where("p <> best").select("p.id", "p.number"))
-    out = work.save(gone.groupBy("id").agg(F.sort_array(F.collect_set("number")).alias("numbers")))
+            gone = gone.unionByName(place.join(best, "component").where("p <> best").select("p.id", "p.number", "p.th"))
+    out = work.save(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("number")).alias("numbers")))
     work.drop(sent, firsts, members_table)
     return out
 
@@ -316,7 +325,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Work(docs.sparkSession, "lines")
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     gone = gone_lines(work, src, **options).withColumnRenamed("id", "gid")
-    hit = src.join(gone, F.coalesce("id", F.lit(LAST)) == F.col("gid"), "left").select("id", "text", "numbers")
+    hit = src.join(gone, (F.coalesce("id", F.lit(LAST)) == F.col("gid")) & (F.xxhash64("text") == F.col("th")), "left").select("id", "text", "numbers")
     return hit.mapInArrow(_strip, "id long, n_lines long, n_removed long, kept_chars long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -324,9 +333,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with texts without removed lines; texts that lose all their lines go, texts that had none stay as they are."""
     work = Work(docs.sparkSession, "lines")
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    gone = gone_lines(work, src, **options).withColumnRenamed("id", "_gid")
+    gone = gone_lines(work, src, **options).withColumnRenamed("id", "_gid").withColumnRenamed("th", "_gth")
     gone = gone.withColumnRenamed("numbers", "__gone_lines")
-    hit = docs.join(gone, F.coalesce(docs[id_col], F.lit(LAST)) == F.col("_gid"), "left")
+    hit = docs.join(gone, (F.coalesce(docs[id_col], F.lit(LAST)) == F.col("_gid")) & (F.xxhash64(docs[text_col]) == F.col("_gth")), "left")
     parts = f"split(`{text_col}`, '\\n', -1)"
     left = F.expr(f"transform(array_except(sequence(0, size({parts}) - 1), __gone_lines), i -> {parts}[i])")
     text = F.when(F.col("__gone_lines").isNull(), hit[text_col]).otherwise(F.array_join(left, "\n"))
