@@ -304,6 +304,14 @@ def test_neighbours(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_near_dedup_stage_keeps_null_ids(spark):
+    import corpus_pipeline
+
+    data = [(1, LONG), (2, COPY), (3, prose(60, 80)), (None, prose(61, 80))]
+    docs = spark.createDataFrame([(*x, "en", "s", len(x[1])) for x in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()} == {1, 3, None}
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
