@@ -304,6 +304,16 @@ def test_neighbours(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_has_k_where_copies_crowd_leaves(spark):
+    from veilscan.llm.neighbours import search
+
+    rng = np.random.default_rng(32)
+    x = np.concatenate([np.repeat(rng.normal(size=(m, 16)), n, axis=0) for m, n in ((3, 1500), (60, 40), (20, 3))])
+    x = x[rng.permutation(len(x))]
+    found = search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), recall=0.5).groupBy("query_id").count().collect()
+    assert {r.query_id for r in found} == set(range(0, len(x), 20)) and {r["count"] for r in found} == {20}
+
+
 def test_near_dedup_stage_keeps_null_ids(spark):
     import corpus_pipeline
 

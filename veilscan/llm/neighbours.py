@@ -4,7 +4,8 @@ With one more component, sqrt(M^2 - |x|^2) for M the largest norm (0 for queries
 smallest distance. A tree is fitted to a bounded sample; every vector goes down it to a leaf. A query visits leaves
 best bin first: a priority queue holds the branches not taken by their distance. Visits widen (1, 2, 4, ... leaves)
 until, for calibration queries held against all vectors, the leaves visited hold ``recall`` of their true neighbours.
-Candidates are scored on the original vectors in double precision, ties go to the smaller id.
+A query goes on beyond that width until the leaves it has visited hold k candidates, own rows not counted, or it has
+visited all. Candidates are scored on the original vectors in double precision, ties go to the smaller id.
 
 Scale: the tree has ``leaves`` nodes at most and is broadcast. A leaf's vectors are dealt to blocks of bounded size, so
 that a leaf of a million equal vectors is as many blocks; its queries too. Blocks keep each query's best k.
@@ -20,7 +21,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.llm.work import Work
@@ -80,13 +81,14 @@ class Tree:
                     todo.append((kid, own))
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a best-bin-first search."""
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first search: ``most``, and more until they hold ``need`` vectors by ``held``."""
         heap, out, n = [(0.0, 0, 0)], [], 0
-        while heap and len(out) < most:
+        while heap and (len(out) < most or need > 0):
             _, _, at = heapq.heappop(heap)
             if at < 0:
                 out.append(-at - 1)
+                need -= 0 if held is None else int(held[-at - 1])
                 continue
             c, kids = self.nodes[at]
             d = ((c - q) ** 2).sum(1)
@@ -172,15 +174,20 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         # the last doubling is more than needed: the least number of visits that has the recall
         if len(ranks):
             width = max(1, min(width, int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1))
-    spots = spark.sparkContext.broadcast(width)
+    held_in = np.zeros(tree.leaves, np.int64)
+    for leaf, n in index.groupBy("leaf").count().collect():  # a row a leaf
+        held_in[leaf] = n
+    spots = spark.sparkContext.broadcast((width, held_in))
 
     def visit(batches):
         for b in batches:
             x, _ = matrix(b.column(1))
-            lists = [shared.value.visits(np.append(q, 0.0), spots.value) for q in x]
+            most, sizes = spots.value
+            # rows of the query's own id are no candidates
+            lists = [shared.value.visits(np.append(q, 0.0), most, sizes, k + own) for q, own in zip(x, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], ["query_id", "q", "leaves"])
 
-    seen = work.save(queries.select("id", "v").mapInArrow(visit, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf")))
+    seen = work.save(queries.select("id", "v", F.count("*").over(Window.partitionBy("id")).alias("own")).mapInArrow(visit, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf")))
     # a leaf's numbers of blocks, of its vectors and of its visits: a row a leaf
     size = index.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("nv")).join(seen.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias("nq")), "leaf")
     size = F.broadcast(work.save(size))
