@@ -72,6 +72,41 @@ def test_kneser_ney_sums_to_one():
     assert abs(np.exp(m.log_probs("en", ev)).sum() - 1) < 1e-6
 
 
+def kneser_ney_losses(texts):
+    """The model by dictionaries."""
+    grams = {g for t in texts for w in [["", "", *t.lower().split()]] for g in zip(w, w[1:], w[2:], strict=False)}
+    c = collections.Counter((v, w) for _, v, w in grams)
+    total = collections.Counter()
+    for (v, _), n in c.items():
+        total[v] += n
+    follows = collections.Counter(w for _, w in c)
+    n = [0, *(max(1, sum(x == k for x in c.values())) for k in (1, 2, 3, 4))]
+    y = n[1] / (n[1] + 2 * n[2])
+    d = [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), cap) for k, cap in ((1, 0.95), (2, 1.9), (3, 2.85)))]
+    share = {p: (x - d[min(x, 3)]) / total[p[0]] for p, x in c.items() if x > 1}
+    mass = collections.defaultdict(lambda: 1.0)
+    for (v, _), x in share.items():
+        mass[v] -= x
+    once = sum(x == 1 for x in follows.values())
+    pc = {w: (x if x > 1 else max(once, 1) / max(once, 1)) / len(c) for w, x in follows.items()}
+    return [-np.mean([np.log(share.get(p, 0) + mass[p[0]] * pc[p[1]]) for w in [["", *t.lower().split()]] for p in zip(w, w[1:], strict=False)]) for t in texts]
+
+
+def test_quality_scores_by_all_pairs(spark, monkeypatch):
+    from veilscan.llm import kneser_ney as kn
+    from veilscan.llm.quality import quality
+
+    monkeypatch.setattr(kn, "HELD", 500)
+    vocabulary = prose(70, 300).split()
+    rng = np.random.default_rng(71)
+    texts = [" ".join(vocabulary[int(i)] for i in np.minimum(rng.zipf(1.3, 90) - 1, 299)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.loss for r in quality(docs).collect()}
+    assert np.allclose([got[i] for i in range(61)], [*(x := kneser_ney_losses(texts)), x[0]], atol=5e-3)
+    # many shards are scored, and none of them by a model of bounded size
+    assert not hasattr(kn, "_threshold")
+
+
 def test_line_dedup(docs, none):
     from veilscan.llm.lines import dedup_lines, line_report, within
 

@@ -1,23 +1,24 @@
-"""Word n-gram modified Kneser-Ney models, counted by Spark and stored in sorted hash arrays.
+"""Word n-gram modified Kneser-Ney scores, counted and looked up by Spark in sorted hash arrays.
 
 Words are hashed, A-Z lowered; a text starts with two start marks. Every distinct trigram (u, v, w) of every text is
 counted into adjusted counts, as Kneser-Ney has them below its highest order: c(vw) is the number of different u
 before vw, and pc(w) the share of contexts that w follows. A text that is copied a thousand times so weighs as one,
 and is no less surprising than another.
 
-Counting: each task reduces what it reads to sorted distinct trigrams (28 bits of v, 24 of w, 12 of u) and sends
-them, difference-coded, to shards by v; a frequent trigram is one entry a task. A shard merges its blobs and keeps,
-as sorted arrays, the pairs counted twice or more, their contexts' totals, counts of counts (which give the three
-discounts by language), and how many contexts each word follows; the last are added up by word.
+Counting: each task reduces chunks of what it reads to sorted distinct trigrams and sends them, coded by a dictionary,
+to shards by v; a frequent trigram is one entry a chunk. A shard merges its chunks' entries to pairs with their
+counts, their contexts' totals, counts of counts (which give the three discounts by language), and how many contexts
+each word follows; the last are added up by word and sent back to the shards that have the word.
 
 Scoring: p(w|v) = (c(vw) - D) / c(v) + g(v) * pc(w), with pc the share of contexts that w follows and g(v) the mass
-that discounts, and events not stored, leave. The arrays that scoring tasks hold have a proven bound: ``most``
-events and ``most`` words over all languages; above it the least count stored rises (events not stored back off,
-words not stored share the rest of pc evenly). No text or word is left out of counts or scores by that.
+that discounts, and pairs seen after one u only, leave: a text's own rare pairs do not vouch for it. Words seen after
+one v only share the rest of pc evenly. That holds at every size: each pair is scored in its shard, and the scores go
+back to the chunks that have it, where they are summed by text. Nothing that grows with the input is broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,21 +31,21 @@ from veilscan.llm import textvec as tv
 from veilscan.llm.work import Work
 
 U = np.uint64
-#: Entries that a task gathers before it sends them on.
-HELD = 2_000_000
+#: Words of a chunk.
+HELD = 1_000_000
 WORD_BITS, FAR_BITS = 24, 12
 
 
-def events(wh: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """v << 36 | w << 12 | u for each word w; first has the index of each text's first word, and the end."""
+def events(wh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, w, u) for each word w; first has the index of each text's first word, and the end."""
     mixed = tv.mix(wh ^ U(0x5BD1E995))
     start = first[:-1][first[:-1] < len(wh)]
     ctx, far = np.zeros(len(wh), U), np.zeros(len(wh), U)
-    ctx[1:] = mixed[:-1] >> U(36)
+    ctx[1:] = mixed[:-1] >> U(36) << U(36)
     ctx[start] = U(0)
-    far[1:] = ctx[:-1] & U((1 << FAR_BITS) - 1)
+    far[1:] = ctx[:-1] >> U(36) & U((1 << FAR_BITS) - 1)
     far[start] = U(0)
-    return ctx << U(WORD_BITS + FAR_BITS) | (mixed & U((1 << WORD_BITS) - 1)) << U(FAR_BITS) | far
+    return ctx, mixed << U(64 - WORD_BITS), far
 
 
 def squash(counts: np.ndarray) -> bytes:
@@ -68,16 +69,37 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[at], np.add.reduceat(c, at) if len(k) else c
 
 
-def _send(lang, keys, counts, shift, kind):
-    """Rows (lang, kind, shard, keys, counts) of a sorted run, cut at the shards' borders."""
-    shard = (keys >> U(shift)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-    return [(lang, kind, int(shard[a]), tv.pack(keys[a:b]), squash(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+def coded(*columns: np.ndarray) -> bytes:
+    """Columns of one length as their distinct values, sorted, and places among them."""
+    values, at = np.unique(np.concatenate(columns), return_inverse=True)
+    values = tv.pack(values)
+    return len(values).to_bytes(8, "little") + values + squash(at)
 
 
-SENT = "lang string, kind string, shard long, keys binary, counts binary"
-_NAMES = ["lang", "kind", "shard", "keys", "counts"]
-_KINDS = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+def decoded(blob: bytes, columns: int) -> np.ndarray:
+    cut = 8 + int.from_bytes(blob[:8], "little")
+    return tv.unpack(blob[8:cut])[unsquash(blob[cut:])].reshape(columns, -1)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """Shards, by the top bits, of sorted keys, and where they are."""
+    shard = (keys >> U(64 - bits)).astype(np.int64)
+    at = np.append(np.flatnonzero(changes(shard)), len(shard))
+    return [(int(shard[a]), slice(a, b)) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+SENT = "lang string, kind string, shard long, chunk string, a binary, b binary, c binary"
+_NAMES = ["lang", "kind", "shard", "chunk", "a", "b", "c"]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _batch(rows):
@@ -85,89 +107,143 @@ def _batch(rows):
 
 
 def by_language(column: pa.Array, langs: list) -> Iterator:
-    """For each block and language: (language, rows, events, first word of each row)."""
+    """For each block and language: (language, rows, (v, w, u) of each word, number of words of each row)."""
     for i, j, data, offs in tv.blocks(column):
         s, e, first = tv.word_spans(data, offs)
         ev = events(tv.span_hash(tv.prefix_hash(tv.LOWER[data]), s, e), first)
         n = np.diff(first)
         names = np.array([x or "" for x in langs[i:j]], object)
         for lang in sorted(set(names)):
+            own = np.repeat(names == lang, n)
             rows = np.flatnonzero(names == lang)
-            mine = ev[np.repeat(names == lang, n)] if len(rows) < j - i else ev
-            yield lang, i + rows, mine, np.concatenate([[0], np.cumsum(n[rows])])
+            yield lang, i + rows, [x[own] for x in ev], n[rows]
 
 
 def _count(bits: int):
-    shift = U(64 - bits)
+    """Sends 'event' rows (distinct v, w, u) by shard, and a 'text' row (text hashes; numbers of words; each word's place among the
+    chunk's sorted distinct pairs) by chunk and language."""
 
     def run(batches):
         held, size = defaultdict(list), 0
 
         def flush():
-            rows = []
+            rows, chunk = [], uuid.uuid4().hex
             for lang, runs in held.items():
-                k = np.unique(np.concatenate(runs))
-                shard = (k >> shift).astype(np.int64)
-                cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-                rows += [(lang, "event", int(shard[a]), tv.pack(k[a:b]), None) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                v, w, u, t1, t2, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+                order = np.lexsort((u, w, v))
+                v, w, u = v[order], w[order], u[order]
+                pair = changes(v, w)
+                at = np.empty(len(v), np.int64)
+                at[order] = np.cumsum(pair) - 1
+                rows.append((lang, "text", -1, chunk, np.concatenate([t1, t2]).tobytes(), squash(n), squash(at)))
+                new = pair | changes(u)
+                v, w, u = v[new], w[new], u[new]
+                rows += [(lang, "event", x, chunk, coded(v[y], w[y], u[y]), None, None) for x, y in _cuts(v, bits)]
             held.clear()
             return _batch(rows)
 
         for b in batches:
-            for lang, _, ev, _ in by_language(b.column(0), b.column(1).to_pylist()):
-                if len(ev):
-                    held[lang].append(np.unique(ev))
-                    size += len(held[lang][-1])
-            if size > HELD:
-                yield flush()
-                size = 0
+            t1, t2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            for lang, rows, ev, n in by_language(b.column(0), b.column(1).to_pylist()):
+                if len(ev[0]):
+                    rows, n = rows[n > 0], n[n > 0]
+                    held[lang].append((*ev, t1[rows], t2[rows], n))
+                    size += len(ev[0])
+                if size > HELD:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
     return run
 
 
-def _shard(table: pa.Table) -> pa.Table:
-    """One shard's events -> rows: pairs (counted twice or more), contexts, words (by 16 ranges), counts of counts."""
-    lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
-    # a slice of the key space at a time would do as well; shards are many, so that one fits
-    k = np.unique(np.concatenate([tv.unpack(x.as_py()) for x in table["keys"]])) >> U(FAR_BITS)
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    k, c = k[at], np.diff(np.append(at, len(k)))
-    ctx = k >> U(WORD_BITS)
-    at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-    total = np.add.reduceat(c, at)
-    twice = c > 1
-    names, some = ctx[at], np.isin(ctx[at], ctx[twice])
-    w, n = np.unique(k & U((1 << WORD_BITS) - 1), return_counts=True)
-    least, of = np.unique(np.minimum(c, 1 << 20), return_counts=True)
-    rows = [(lang, "pair", shard, tv.pack(k[twice]), squash(c[twice])), (lang, "context", shard, tv.pack(names[some]), squash(total[some])), (lang, "least", shard, tv.pack(least.astype(U)), squash(of))]
-    rows += [(lang, "word", r[2], *r[3:]) for r in _send(lang, w, n, WORD_BITS - 4, "word")]
-    return pa.Table.from_batches([_batch(rows)])
+def _shard(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One shard's events -> rows: pairs with counts, each chunk's pairs, words by ranges, counts of counts."""
+        lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
+        chunks = table["chunk"].to_pylist()
+        parts = [decoded(x.as_py(), 3) for x in table["a"]]
+        src = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
+        v, w, u = np.concatenate(parts, axis=1)
+        del parts
+        order = np.lexsort((u, w, v))
+        v, w, u, src = v[order], w[order], u[order], src[order]
+        new = changes(v, w)
+        at = np.cumsum(new) - 1
+        c = np.add.reduceat((new | changes(u)).astype(np.int64), np.flatnonzero(new))
+        v, w = v[new], w[new]
+        rows = [(lang, "pair", shard, None, coded(v, w), squash(c), None)]
+        order = np.argsort(src, kind="stable")
+        src, at = src[order], at[order].astype(U)
+        keep = changes(src, at)
+        src, at = src[keep], at[keep]
+        ends = np.searchsorted(src, np.arange(len(chunks) + 1))
+        rows += [(lang, "at", shard, x, tv.pack(at[a:b]), None, None) for x, a, b in zip(chunks, ends[:-1], ends[1:], strict=True)]
+        least, of = np.unique(np.minimum(c, 5), return_counts=True)
+        rows.append((lang, "least", shard, None, tv.pack(least.astype(U)), squash(of), None))
+        k, n = np.unique(w, return_counts=True)
+        rows += [(lang, "word", x, str(shard), tv.pack(k[y]), squash(n[y]), None) for x, y in _cuts(k, bits)]
+        return pa.Table.from_batches([_batch(rows)])
+
+    return run
 
 
 def _words(table: pa.Table) -> pa.Table:
+    """A range of words -> 'pc' rows (words; contexts they follow) for the shards that have them, and totals."""
     lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
-    k, c = added([tv.unpack(x.as_py()) for x in table["keys"]], [unsquash(x.as_py()) for x in table["counts"]])
-    least, of = np.unique(np.minimum(c, 1 << 20), return_counts=True)
-    seen = c > 1
-    totals = np.array([len(k), c.sum()])
-    return pa.Table.from_batches([_batch([(lang, "word", shard, tv.pack(k[seen]), squash(c[seen])), (lang, "wordleast", shard, tv.pack(least.astype(U)), squash(of)), (lang, "wordtotal", shard, tv.pack(np.array([0, 1], U)), squash(totals))])])
+    keys = [tv.unpack(x.as_py()) for x in table["a"]]
+    k, c = added(keys, [unsquash(x.as_py()) for x in table["b"]])
+    rows = [(lang, "pc", int(x), None, tv.pack(own), squash(c[np.searchsorted(k, own)]), None) for x, own in zip(table["chunk"].to_pylist(), keys, strict=True)]
+    seen = c[c > 1]
+    rows.append((lang, "total", shard, None, squash(np.array([len(c), c.sum(), len(seen), seen.sum()])), None, None))
+    return pa.Table.from_batches([_batch(rows)])
 
 
-def _threshold(counts: dict[int, int], most: int) -> int:
-    """The smallest least count, 2 or more, that ``most`` entries or fewer have."""
-    left = sum(n for c, n in counts.items() if c > 1)
-    for c in sorted(counts):
-        if c > 1:
-            if left <= most:
-                return c
-            left -= counts[c]
-    return max(counts, default=1) + 1
+def _scores(discounts: dict, totals: dict):
+    def run(table: pa.Table) -> pa.Table:
+        """A shard's pairs and their words' contexts -> 'score' rows: log-probabilities of each chunk's pairs."""
+        lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
+        blobs = defaultdict(list)
+        for r in table.to_pylist():
+            blobs[r["kind"]].append(r)
+        v, w = decoded(blobs["pair"][0]["a"], 2)
+        c = unsquash(blobs["pair"][0]["b"])
+        new = changes(v)
+        ctx = np.cumsum(new) - 1
+        d = np.array([0.0, *discounts[lang]])[np.minimum(c, 3)]
+        share = np.where(c > 1, (c - d) / np.add.reduceat(c, np.flatnonzero(new))[ctx], 0.0)
+        mass = 1 - np.bincount(ctx, share)
+        k, n = added([tv.unpack(r["a"]) for r in blobs["pc"]], [unsquash(r["b"]) for r in blobs["pc"]])
+        types, all_, seen_types, seen = totals[lang]
+        rare = max(all_ - seen, 1) / max(types - seen_types, 1) / max(all_, 1)
+        pc = np.where(n > 1, n / max(all_, 1), rare)[np.searchsorted(k, w)]
+        score = log_prob(share, mass[ctx], pc).astype("<f4")
+        return pa.Table.from_batches([_batch([(lang, "score", shard, r["chunk"], score[tv.unpack(r["a"]).astype(np.int64)].tobytes(), None, None) for r in blobs["at"]])])
+
+    return run
+
+
+LOSS = "lang string, t1 long, t2 long, loss double"
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """A chunk's texts and its pairs' log-probabilities -> each text's mean loss a word."""
+    rows = table.to_pylist()
+    (text,) = (r for r in rows if r["kind"] == "text")
+    score = np.concatenate([np.frombuffer(r["a"], "<f4") for r in sorted((r for r in rows if r["kind"] == "score"), key=lambda r: r["shard"])])
+    n = unsquash(text["b"])
+    t1, t2 = np.frombuffer(text["a"], np.int64).reshape(2, -1)
+    total = np.add.reduceat(score[unsquash(text["c"])].astype(float), np.cumsum(n) - n)
+    return pa.table({"lang": pa.array([text["lang"]] * len(n), pa.string()), "t1": pa.array(t1), "t2": pa.array(t2), "loss": pa.array(-total / n)})
+
+
+def log_prob(own: np.ndarray, back: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(own + back * word, 1e-30))
 
 
 class Model:
-    """Sorted hash arrays by language: events with discounted shares, contexts with backed-off mass, words."""
+    """A small model held whole: numbered contexts and words, events v << 24 | w with discounted shares."""
 
     def __init__(self):
         self.by: dict[str, dict[str, np.ndarray]] = {}
@@ -187,66 +263,33 @@ class Model:
         word = find(m["words"], m["pc"], (uniq & U((1 << WORD_BITS) - 1)).astype(np.uint32), m["rare"])
         own = find(m["events"], m["share"], uniq, 0.0)
         back = find(m["contexts"], m["mass"], (uniq >> U(WORD_BITS)).astype(np.uint32), 1.0)
-        return np.log(np.maximum(own + back * word, 1e-30))[inv]
+        return log_prob(own, back, word)[inv]
 
 
-def train(work: Work, docs: DataFrame, text_col: str, lang_col: str, most: int = 2_000_000) -> Model:
-    """Counts all of docs; ``most`` bounds the stored events, and the stored words."""
+def losses(work: Work, docs: DataFrame) -> DataFrame:
+    """docs (text, lang, t1, t2; the last two hash the text) -> lang, t1, t2, loss: a row a distinct text with a word; the mean
+    negative log-probability a word under the model of all texts of its language ('' for null)."""
     bits = min(16, max(6, 2 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
-    sent = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).mapInArrow(_count(bits), SENT)
-    shards = work.save(sent.groupBy("lang", "shard").applyInArrow(_shard, SENT))
+    sent = work.save(docs.select("text", "lang", "t1", "t2").mapInArrow(_count(bits), SENT))
+    shards = work.save(sent.where("kind = 'event'").groupBy("lang", "shard").applyInArrow(_shard(max(4, bits // 2)), SENT))
     words = work.save(shards.where("kind = 'word'").groupBy("lang", "shard").applyInArrow(_words, SENT))
-
-    def merged(df: DataFrame, kind: str) -> dict[str, dict[int, int]]:
-        """Counts of counts: a few thousand numbers a language."""
-        out: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for r in df.where(F.col("kind") == kind).select("lang", "keys", "counts").toLocalIterator():
-            for c, n in zip(tv.unpack(bytes(r[1])).tolist(), unsquash(bytes(r[2])).tolist(), strict=True):
-                out[r[0]][c] += n
-        return out
-
-    of_events, of_words, total = merged(shards, "least"), merged(words, "wordleast"), merged(words, "wordtotal")
-    everything = lambda x: {c: sum(d.get(c, 0) for d in x.values()) for c in sorted({c for d in x.values() for c in d})}
-    least, least_word = _threshold(everything(of_events), most), _threshold(everything(of_words), most)
+    # a few numbers a language
+    counts: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    for r in shards.where("kind = 'least'").select("lang", "a", "b").toLocalIterator():
+        for c, n in zip(tv.unpack(bytes(r[1])).tolist(), unsquash(bytes(r[2])).tolist(), strict=True):
+            counts[r[0]][c] += n
+    totals: dict[str, list[int]] = {}
+    for r in words.where("kind = 'total'").select("lang", "a").toLocalIterator():
+        totals[r[0]] = [x + y for x, y in zip(totals.get(r[0], [0] * 4), unsquash(bytes(r[1])).tolist(), strict=True)]
     discounts = {}
-    for lang, n in of_events.items():
+    for lang, n in counts.items():
         n1, n2, n3, n4 = (max(1, n.get(c, 0)) for c in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         discounts[lang] = [min(max(d, 0.1), cap) for d, cap in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.85))]
-
-    def stored(table: pa.Table) -> pa.Table:
-        """A shard's stored events with discounted shares, and its contexts with the mass left."""
-        blob = {r["kind"]: (tv.unpack(r["keys"]), unsquash(r["counts"])) for r in table.to_pylist()}
-        lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
-        (k, c), (names, all_) = blob["pair"], blob["context"]
-        k, c = k[c >= least], c[c >= least]
-        at = np.searchsorted(names, k >> U(WORD_BITS))
-        d = np.array([0.0, *discounts[lang]])[np.minimum(c, 3)]
-        share = (c - d) / all_[at] if len(k) else np.zeros(0)
-        mass = 1 - np.bincount(at, share, len(names))
-        some = mass < 1
-        rows = [(lang, "event", shard, tv.pack(k), share.astype("<f4").tobytes()), (lang, "context", shard, tv.pack(names[some]), mass[some].astype("<f4").tobytes())]
-        return pa.Table.from_batches([_batch(rows)])
-
-    model = Model()
-    parts: dict[str, dict[str, list]] = defaultdict(lambda: defaultdict(list))
-    kept = shards.where("kind in ('pair', 'context')").groupBy("lang", "shard").applyInArrow(stored, SENT)
-    # bounded by ``most`` events and contexts of theirs: at most 24 bytes each
-    for r in work.save(kept).orderBy("lang", "kind", "shard").toLocalIterator():
-        kind = r["kind"]
-        parts[r["lang"]][kind].append((tv.unpack(bytes(r["keys"])), np.frombuffer(bytes(r["counts"]), "<f4")))
-    for r in words.where("kind = 'word'").orderBy("lang", "shard").toLocalIterator():
-        k, c = tv.unpack(bytes(r["keys"])), unsquash(bytes(r["counts"]))
-        parts[r["lang"]]["word"].append((k[c >= least_word], c[c >= least_word]))
-    for lang, p in parts.items():
-        join = lambda kind, i: np.concatenate([x[i] for x in p[kind]]) if p[kind] else np.zeros(0)  # noqa: B023, E731
-        types, all_ = total[lang][0], total[lang][1]
-        c = join("word", 1)
-        rest = max(all_ - int(c.sum()), 1) / max(types - len(c), 1) / max(all_, 1)
-        model.by[lang] = {
-            "events": join("event", 0).astype(U), "share": join("event", 1).astype(np.float32),
-            "contexts": join("context", 0).astype(np.uint32), "mass": join("context", 1).astype(np.float32),
-            "words": join("word", 0).astype(np.uint32), "pc": (c / max(all_, 1)).astype(np.float32), "rare": float(rest),
-        }
+    known = shards.where("kind in ('pair', 'at')").unionByName(words.where("kind = 'pc'"))
+    scores = work.save(known.groupBy("lang", "shard").applyInArrow(_scores(discounts, totals), SENT))
     work.drop(shards, words)
-    return model
+    every = scores.unionByName(sent.where("kind = 'text'")).groupBy("lang", "chunk").applyInArrow(_sums, LOSS)
+    out = work.save(every.groupBy("lang", "t1", "t2").agg(F.min("loss").alias("loss")))
+    work.drop(sent, scores)
+    return out

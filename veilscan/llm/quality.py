@@ -6,8 +6,9 @@ of their language (kneser_ney) must lie within the language's band: median +- ``
 times the median absolute deviation, at least ``floor``) over that language's texts that pass the base rules. A
 text too repetitive to surprise falls below the band, one of unknown or shouted words above it.
 
-Scale: two passes over the texts, no shuffle of texts; counts travel as sorted distinct events a task. The band
-comes from a histogram in steps of 0.001.
+Scale: counts and scores travel as arrays (kneser_ney); a text's loss is found again by its language and two 64-bit
+hashes of the text, and what the rules reject goes by an anti-join on these. The band comes from a histogram in steps
+of 0.001.
 
 Nulls: a null text has no words, and fails; a null language is the language ''. Rows that repeat count as rows.
 An empty table gives none. Extra columns are ignored.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import kneser_ney as kn
 from veilscan.llm import textvec as tv
+from veilscan.llm.graph import hint
 from veilscan.llm.work import Work
 
 U = np.uint64
@@ -72,23 +74,19 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _scored(model):
-    def run(batches):
-        m = model.value
-        for b in batches:
-            col, langs = b.column(1), b.column(2).to_pylist()
-            got = {c: [] for c in COUNTS}
-            loss = np.zeros(len(col))
-            for _, _, data, offs in tv.blocks(col):
-                for c, v in base_counts(data, offs).items():
-                    got[c].append(v)
-            for lang, rows, ev, first in kn.by_language(col, langs):
-                lp = np.concatenate([[0.0], np.cumsum(m.log_probs(lang, ev))])
-                loss[rows] = -(lp[first[1:]] - lp[first[:-1]]) / np.maximum(1, np.diff(first))
-            arrays = [b.column(0), pa.array([x or "" for x in langs], pa.string()), *(pa.array(np.concatenate(got[c]) if got[c] else np.zeros(0, np.int64), pa.int64()) for c in COUNTS), pa.array(loss, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", *COUNTS, "loss"])
+def _counted(batches):
+    for b in batches:
+        got = {c: [] for c in COUNTS}
+        for _, _, data, offs in tv.blocks(b.column(1)):
+            for c, v in base_counts(data, offs).items():
+                got[c].append(v)
+        arrays = [b.column(0), *(b.column(i) for i in (2, 3, 4)), *(pa.array(np.concatenate(got[c]) if got[c] else np.zeros(0, np.int64), pa.int64()) for c in COUNTS)]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", "t1", "t2", *COUNTS])
 
-    return run
+
+def _keys(text, lang) -> list:
+    """What a loss is found by: the language and two hashes of the text."""
+    return [F.coalesce(lang, F.lit("")).alias("lang"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def bands(scored: DataFrame, reach: float, floor: float) -> DataFrame:
@@ -107,38 +105,26 @@ def bands(scored: DataFrame, reach: float, floor: float) -> DataFrame:
     return mid.join(dev, "lang").select("lang", (F.col("mid") / 1000 - width).alias("low"), (F.col("mid") / 1000 + width).alias("high"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, reach: float = 5.0, floor: float = 0.05, most: int = 2_000_000) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, reach: float = 5.0, floor: float = 0.05) -> DataFrame:
     """One row per row of docs: id, the five counts, base_failed, loss (mean negative log-probability), low, high, kept."""
-    scored, band, _ = _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor, most)
-    out = scored.join(F.broadcast(band) if band.count() <= 10_000 else band, "lang", "left")
-    return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", F.expr("coalesce(not base_failed and loss between low and high, false)").alias("kept"), "loss", "low", "high", "lang")
+    scored = _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor)
+    return scored.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "kept", "loss", "low", "high", "lang")
 
 
-def _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor, most):
-    spark = docs.sparkSession
-    work = Work(spark, "quality")
-    model = spark.sparkContext.broadcast(kn.train(work, docs, text_col, lang_col, most))
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    scored = src.mapInArrow(_scored(model), "id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", loss double")
+def _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor):
+    work = Work(docs.sparkSession, "quality")
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *_keys(docs[text_col], docs[lang_col]))
+    loss = kn.losses(work, src)
+    counted = src.mapInArrow(_counted, "id long, lang string, t1 long, t2 long, " + ", ".join(f"{c} long" for c in COUNTS))
+    scored = counted.join(loss, ["lang", "t1", "t2"], "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
     scored = work.save(scored.withColumn("base_failed", F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeated} * n_words")))
-    return scored, work.save(bands(scored.where("not base_failed"), reach, floor)), model
-
-
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, reach: float = 5.0, floor: float = 0.05, most: int = 2_000_000) -> DataFrame:
-    """The rows of docs that ``quality`` keeps. Texts are scored again where they are read: they never travel."""
-    _, band, model = _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor, most)
-    # a pair of numbers a language
-    limits = {r["lang"]: (r["low"], r["high"]) for r in band.collect()}
-    score, at = _scored(model), [docs.columns.index(c) for c in (id_col, text_col, lang_col)]
-
-    def run(batches):
-        for b in batches:
-            (x,) = score([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at[1]), b.column(at[2])], ["id", "text", "lang"])])
-            x = x.to_pydict()
-            keep = []
-            for lang, n, rep, loss in zip(x["lang"], x["n_words"], x["n_repeat_words"], x["loss"], strict=True):
-                low, high = limits.get(lang, (0.0, -1.0))
-                keep.append(n >= least_words and 100 * rep <= most_repeated * n and low <= loss <= high)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    band = work.save(bands(scored.where("not base_failed"), reach, floor))
+    return scored.join(hint(band), "lang", "left").withColumn("kept", F.expr("coalesce(not base_failed and loss between low and high, false)"))
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, reach: float = 5.0, floor: float = 0.05) -> DataFrame:
+    """The rows of docs that ``quality`` keeps."""
+    judged = _judged(docs, id_col, text_col, lang_col, least_words, most_repeated, reach, floor)
+    gone = Work(docs.sparkSession, "quality").save(judged.where("not kept").select(*[F.col(c).alias(f"__{c}") for c in ("lang", "t1", "t2")]).distinct())
+    same = [k == gone[f"__{c}"] for k, c in zip(_keys(docs[text_col], docs[lang_col]), ("lang", "t1", "t2"), strict=True)]
+    return docs.join(hint(gone), same, "left_anti").select(*docs.columns)
