@@ -32,20 +32,21 @@ from veilscan.llm.work import Work
 
 U = np.uint64
 #: Words of a chunk.
-HELD = 1_000_000
+HELD = 2_000_000
+#: Of a Model's numbers only: counts and scores of texts have whole hashes.
 WORD_BITS, FAR_BITS = 24, 12
 
 
 def events(wh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(v, w, u) for each word w; first has the index of each text's first word, and the end."""
+    """(v, w, u), 64-bit hashes, for each word w; first has the index of each text's first word, and the end."""
     mixed = tv.mix(wh ^ U(0x5BD1E995))
     start = first[:-1][first[:-1] < len(wh)]
     ctx, far = np.zeros(len(wh), U), np.zeros(len(wh), U)
-    ctx[1:] = mixed[:-1] >> U(36) << U(36)
+    ctx[1:] = mixed[:-1]
     ctx[start] = U(0)
-    far[1:] = ctx[:-1] >> U(36) & U((1 << FAR_BITS) - 1)
+    far[1:] = ctx[:-1]
     far[start] = U(0)
-    return ctx, mixed << U(64 - WORD_BITS), far
+    return ctx, mixed, far
 
 
 def squash(counts: np.ndarray) -> bytes:
@@ -135,7 +136,7 @@ def _count(bits: int):
                 pair = changes(v, w)
                 at = np.empty(len(v), np.int64)
                 at[order] = np.cumsum(pair) - 1
-                rows.append((lang, "text", -1, chunk, np.concatenate([t1, t2]).tobytes(), squash(n), squash(at)))
+                rows.append((lang, "text", -1 - int(chunk[:4], 16), chunk, np.concatenate([t1, t2]).tobytes(), squash(n), squash(at)))
                 new = pair | changes(u)
                 v, w, u = v[new], w[new], u[new]
                 rows += [(lang, "event", x, chunk, coded(v[y], w[y], u[y]), None, None) for x, y in _cuts(v, bits)]
@@ -162,6 +163,8 @@ def _shard(bits: int):
     def run(table: pa.Table) -> pa.Table:
         """One shard's events -> rows: pairs with counts, each chunk's pairs, words by ranges, counts of counts."""
         lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
+        if shard < 0:  # texts go by, to be written once
+            return table
         chunks = table["chunk"].to_pylist()
         parts = [decoded(x.as_py(), 3) for x in table["a"]]
         src = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
@@ -269,10 +272,16 @@ class Model:
 def losses(work: Work, docs: DataFrame) -> DataFrame:
     """docs (text, lang, t1, t2; the last two hash the text) -> lang, t1, t2, loss: a row a distinct text with a word; the mean
     negative log-probability a word under the model of all texts of its language ('' for null)."""
-    bits = min(16, max(6, 2 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
-    sent = work.save(docs.select("text", "lang", "t1", "t2").mapInArrow(_count(bits), SENT))
-    shards = work.save(sent.where("kind = 'event'").groupBy("lang", "shard").applyInArrow(_shard(max(4, bits // 2)), SENT))
-    words = work.save(shards.where("kind = 'word'").groupBy("lang", "shard").applyInArrow(_words, SENT))
+    bits = min(16, max(3, int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
+
+    def save(df: DataFrame) -> DataFrame:
+        out = work.save(df)
+        del df
+        work.spark.sparkContext._jvm.System.gc()  # Spark's cleaner then frees shuffles that are no longer read
+        return out
+
+    shards = save(docs.select("text", "lang", "t1", "t2").mapInArrow(_count(bits), SENT).groupBy("lang", "shard").applyInArrow(_shard(max(4, bits // 2)), SENT))
+    words = save(shards.where("kind = 'word'").groupBy("lang", "shard").applyInArrow(_words, SENT))
     # a few numbers a language
     counts: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     for r in shards.where("kind = 'least'").select("lang", "a", "b").toLocalIterator():
@@ -287,9 +296,9 @@ def losses(work: Work, docs: DataFrame) -> DataFrame:
         y = n1 / (n1 + 2 * n2)
         discounts[lang] = [min(max(d, 0.1), cap) for d, cap in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.85))]
     known = shards.where("kind in ('pair', 'at')").unionByName(words.where("kind = 'pc'"))
-    scores = work.save(known.groupBy("lang", "shard").applyInArrow(_scores(discounts, totals), SENT))
-    work.drop(shards, words)
-    every = scores.unionByName(sent.where("kind = 'text'")).groupBy("lang", "chunk").applyInArrow(_sums, LOSS)
-    out = work.save(every.groupBy("lang", "t1", "t2").agg(F.min("loss").alias("loss")))
-    work.drop(sent, scores)
+    scores = save(known.groupBy("lang", "shard").applyInArrow(_scores(discounts, totals), SENT))
+    work.drop(words)
+    every = scores.unionByName(shards.where("kind = 'text'")).groupBy("lang", "chunk").applyInArrow(_sums, LOSS)
+    out = save(every.groupBy("lang", "t1", "t2").agg(F.min("loss").alias("loss")))
+    work.drop(shards, scores)
     return out
