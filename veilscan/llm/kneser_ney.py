@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
-from veilscan.llm.work import Work
+from veilscan.llm.work import Work, shard_bits
 
 U = np.uint64
 #: Words of a chunk.
@@ -111,7 +111,7 @@ def by_language(column: pa.Array, langs: list) -> Iterator:
     """For each block and language: (language, rows, (v, w, u) of each word, number of words of each row)."""
     for i, j, data, offs in tv.blocks(column):
         s, e, first = tv.word_spans(data, offs)
-        ev = events(tv.span_hash(tv.prefix_hash(tv.LOWER[data]), s, e), first)
+        ev = events(tv.span_hash(tv.LOWER[data], s, e), first)
         n = np.diff(first)
         names = np.array([x or "" for x in langs[i:j]], object)
         for lang in sorted(set(names)):
@@ -272,7 +272,7 @@ class Model:
 def losses(work: Work, docs: DataFrame) -> DataFrame:
     """docs (text, lang, t1, t2; the last two hash the text) -> lang, t1, t2, loss: a row a distinct text with a word; the mean
     negative log-probability a word under the model of all texts of its language ('' for null)."""
-    bits = min(16, max(3, int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
+    bits = shard_bits(docs, 3, each=16 << 20)
 
     def save(df: DataFrame) -> DataFrame:
         out = work.save(df)

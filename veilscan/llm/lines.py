@@ -103,7 +103,7 @@ def entries(h: np.ndarray, s: np.ndarray, n: np.ndarray, k: int):
     """Hash keys of lines at s of n characters (h: prefix hashes): yields (keys, is index)."""
 
     def key(start, size, length, j):
-        return tv.mix(tv.span_hash(h, start, start + size) ^ (length.astype(U) * U(1_000_003) + U(j)) * U(tv.P))
+        return tv.mix(tv.slide_hash(h, start, start + size) ^ (length.astype(U) * U(1_000_003) + U(j)) * U(tv.P))
 
     for gap in range(k + 1):
         length = n - gap
@@ -132,7 +132,7 @@ def line_table(column: pa.Array):
         some = worded[e] > worded[s]
         s, e, row, number = s[some], e[some], row[some], number[some]
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        h = tv.span_hash(tv.prefix_hash(data), s, e)
+        h = tv.slide_hash(tv.prefix_hash(data), s, e)
         yield i, data, s, e, lead[s], lead[e] - lead[s], row, number, h
 
 

@@ -34,7 +34,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for i, j, data, offs in tv.blocks(column):
         s, e, first = tv.word_spans(data, offs)
-        wh = tv.span_hash(tv.prefix_hash(tv.LOWER[data]), s, e)
+        wh = tv.span_hash(tv.LOWER[data], s, e)
         grams = tv.ngrams(wh, width)
         for k in range(j - i):
             a, b = first[k], first[k + 1]
@@ -97,7 +97,7 @@ def _sets(width: int, words, log: int):
             x = b.column(2).to_numpy().view(U) >> U(64 - log)
             keep = bits[(x >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1)
             b = b.select([0, 1]).filter(pa.array(keep.astype(bool)))
-            packed = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), tv.pack(np.unique(s >> U(16)))) for s in shingle_sets(b.column(1), width)]
+            packed = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), tv.pack(s)) for s in shingle_sets(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1))], ["node", "set_id", "shingles"])
 
     return run

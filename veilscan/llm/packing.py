@@ -49,7 +49,7 @@ def _classes() -> np.ndarray:
 
 
 def _coder(name: str) -> dict:
-    """This worker's tokenizer, and its cache: hash of a pre-token -> place among ids."""
+    """This worker's tokenizer, and its cache: pre-token -> place among ids."""
     if _state.get("name") != name:
         import base64
 
@@ -107,18 +107,24 @@ def token_ids(column: pa.Array, name: str) -> Iterator[np.ndarray]:
             starts = pretokens(cp, co, st["classes"])
             ends = np.append(starts[1:], len(cp))
             bs, be = at[starts], at[ends]
-            h = tv.span_hash(tv.prefix_hash(data), bs, be)
+            h = tv.span_hash(data, bs, be)
             uniq, where, inv = np.unique(h, return_index=True, return_inverse=True)
+            # a text with a pre-token that only its hash makes equal to another takes the tokenizer itself
+            size = be - bs
+            other = (size != size[where][inv]) | ~tv.equal_spans(data, bs, be, bs[where][inv])
+            if other.any():
+                plain[np.searchsorted(co, starts[other], "right") - 1] = False
             if len(st["seen"]) > KEPT:
                 st["seen"].clear()
                 st["ids"].clear()
             seen, ids, piece = st["seen"], st["ids"], st["piece"]
             place = np.empty(len(uniq), np.int64)
-            for k, (x, a, b) in enumerate(zip(uniq.tolist(), bs[where].tolist(), be[where].tolist(), strict=True)):
+            for k, (a, b) in enumerate(zip(bs[where].tolist(), be[where].tolist(), strict=True)):
+                x = text[a:b]
                 p = seen.get(x)
                 if p is None:
                     p = seen[x] = len(ids)
-                    ids.append(np.array(piece(text[a:b]), "<u4").tobytes())
+                    ids.append(np.array(piece(x), "<u4").tobytes())
                 place[k] = p
             own = [ids[p] for p in place]
             size = np.fromiter(map(len, own), np.int64, len(own)) // 4

@@ -40,7 +40,7 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     out = {"n_words": np.diff(first), "word_chars": total(~tv.SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": total(SIGNS[data])}
     # words in repeated 3-word windows
     doc = np.repeat(np.arange(n), out["n_words"])
-    w3 = tv.ngrams(tv.span_hash(tv.prefix_hash(data), s, e), 3)
+    w3 = tv.ngrams(tv.span_hash(data, s, e), 3)
     own = doc[:-2] == doc[2:] if len(doc) > 2 else np.zeros(0, bool)
     at = np.flatnonzero(own)
     key = tv.mix(w3[at] ^ tv.mix(doc[at].astype(U) + U(1)))

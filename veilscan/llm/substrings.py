@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
 from veilscan.llm.graph import bitmap
-from veilscan.llm.work import Work
+from veilscan.llm.work import Work, shard_bits
 
 U = np.uint64
 BLOCK = 1 << 19
@@ -60,7 +60,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, span: int, gram: int):
     h = tv.prefix_hash(data)
     g = np.full(n, ~U(0))
     at = np.arange(n - gram + 1)
-    g[: n - gram + 1] = tv.span_hash(h, at, at + gram)
+    g[: n - gram + 1] = tv.slide_hash(h, at, at + gram)
     width = span - gram + 1
     least = sliding(g, width, np.minimum)
     # spans that cross a text's end say nothing
@@ -72,8 +72,9 @@ def anchors(data: np.ndarray, offs: np.ndarray, span: int, gram: int):
     pos = np.flatnonzero((g == most) & (end - own >= gram) & (most != 0))
     row = np.searchsorted(offs, pos, "right") - 1
     a, b = np.minimum(pos - offs[row], span - gram), np.minimum(offs[row + 1] - pos, span)
-    around = tv.mix(tv.span_hash(h, pos - a, pos + b) ^ (a * 1000 + b).astype(U))
-    return row, pos, a, b, g[pos], around
+    # the running hash only picks: what is equal is told by hashes of the bytes
+    around = tv.mix(tv.span_hash(data, pos - a, pos + b) ^ (a * 1000 + b).astype(U))
+    return row, pos, a, b, tv.span_hash(data, pos, pos + gram), around
 
 
 def _cuts(keys: np.ndarray, bits: int):
@@ -350,7 +351,7 @@ def _spans(i, t, s, e) -> pa.Table:
 def repeated_spans(work: Work, docs: DataFrame, span: int = 400, gram: int = 200) -> DataFrame:
     """docs (id, th, text) -> (id, th, spans): each text's removed byte ranges, merged, as [start, end] pairs.
     A null id is 2^63 - 1; th is the text's xxhash64."""
-    bits = min(16, max(6, 4 + int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
+    bits = shard_bits(docs, 6, each=1 << 20)
     sc = docs.sparkSession.sparkContext
     first = docs.select("text").mapInArrow(_first_pass(span, gram, bits), "shard long, k binary, c binary, twice binary")
     found = work.save(first.groupBy("shard").applyInArrow(_repeated, "gram long, mixed boolean"))

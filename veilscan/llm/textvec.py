@@ -1,8 +1,9 @@
 """Vectorised text primitives over Arrow string columns (numpy, one pass per byte).
 
 Words are maximal runs of bytes outside ``{0x20, 0x09..0x0D}``; in UTF-8 these bytes never occur inside a
-multi-byte character, so working on bytes equals working on code points. Word hashes come from one running
-polynomial (mod 2^64) over the buffer, finished by a bijective mixer, so no per-word Python work is done.
+multi-byte character, so working on bytes equals working on code points. ``span_hash`` takes spans eight bytes at a
+time through a mixer that is linear in nothing; long spans go to xxhash. ``slide_hash`` is a running polynomial
+(mod 2^64), whose collisions can be built: it picks and proposes, and never decides that two spans are equal.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at once; bounds a worker's memory (about 60 times this).
 CHUNK = 1 << 20
+#: The first bytes of eight, by their number; spans beyond LONG bytes go to xxhash.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+LONG, SEED = 64, 0x5EED
 
 _pw = np.ones(1, U)
 _ipw = np.ones(1, U)
@@ -53,11 +57,48 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def slide_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Position-independent hashes of data[s:e]; h from prefix_hash."""
     return mix((h[e] - h[s]) * powers(len(h))[1][s])
 
 
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def span_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes data[s:e]."""
+    import xxhash
+
+    n, w = e - s, blocks_of(data)
+    out = mix(n.astype(U) * U(P))
+    long_ = n > LONG
+    at, k = np.flatnonzero(~long_), 0
+    while len(at):
+        out[at] = mix((out[at] ^ (w[s[at] + k] & LOW[np.minimum(n[at] - k, 8)])) * U(P) + U(k + 1))
+        k += 8
+        at = at[n[at] > k]
+    if long_.any():
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long_] = [xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(s[long_].tolist(), e[long_].tolist(), strict=True)]
+    return out
+
+
+def equal_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether data[s:e] has the bytes that start at t."""
+    n, w = e - s, blocks_of(data)
+    out = np.ones(len(s), bool)
+    at, k = np.flatnonzero((n > 0) & (s != t)), 0
+    while len(at):
+        low = LOW[np.minimum(n[at] - k, 8)]
+        same = w[s[at] + k] & low == w[np.minimum(t[at] + k, len(data))] & low
+        out[at[~same]] = False
+        k += 8
+        at = at[same & (n[at] > k)]
+    return out
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -36,10 +36,9 @@ def features(column: pa.Array, bits: int):
         offs = np.concatenate([[0], np.cumsum(keep)])[offs]
         data = tv.LOWER[data[keep]]
         s, e, first = tv.word_spans(data, offs)
-        h = tv.prefix_hash(data)
-        w = tv.span_hash(h, s, e)
+        w = tv.span_hash(data, s, e)
         row = np.repeat(np.arange(j - i), np.diff(first))
-        stem = tv.span_hash(h, s, np.minimum(e, s + 5))
+        stem = tv.span_hash(data, s, np.minimum(e, s + 5))
         rows, keys = [row, row], [w, tv.mix(stem ^ U(5))]
         for gap in (1, 2):
             same = row[:-gap] == row[gap:]
@@ -116,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(some), "id")
     # one task, for at most ``bound`` texts, in an order that does not depend on the cluster
-    one = texts.dropDuplicates(["id"]).coalesce(1).sortWithinPartitions(F.xxhash64("id")).select("text", "y")
+    one = texts.groupBy("id", "y").agg(F.min("text").alias("text")).coalesce(1).sortWithinPartitions(F.xxhash64("id")).select("text", "y")
     rows = one.mapInArrow(_fit(bits, epochs, options), "at long, w double").collect()
     if not rows:
         return np.array([1 << bits]), np.array([-50.0])

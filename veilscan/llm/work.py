@@ -59,6 +59,15 @@ class Work:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shard_bits(docs: DataFrame, least: int, most: int = 16, each: int = 8 << 20) -> int:
+    """Log2 of a number of shards for what docs holds: one for ``each`` bytes that Spark expects, or for each partition."""
+    n = max(1, docs.rdd.getNumPartitions())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 55:  # else unknown
+        n = max(n, size // each)
+    return min(most, max(least, (n - 1).bit_length()))
+
+
 def named(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns asked for: extra ones, and whatever names they have, never meet ours."""
     return df.select(*[df[c] for c in columns])
