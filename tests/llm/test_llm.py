@@ -150,6 +150,116 @@ def test_line_dedup(docs, none):
         assert within(a, b, k) == (distance(a, b) <= k), (a, b, k)
 
 
+def line_classes(data, reach=2, per=15):
+    """(id, number) of the lines that go: all pairs by the plain edit distance, and union-find."""
+    from functools import lru_cache
+
+    place = collections.defaultdict(list)
+    for i, t in data:
+        for n, x in enumerate((t or "").split("\n")):
+            if WORD.search(x):
+                place[x].append((i, n))
+    lines, par = list(place), {x: x for x in place}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    def distance(a, b):
+        @lru_cache(None)
+        def d(i, j):
+            if not i or not j:
+                return i + j
+            return min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+
+        return d(len(a), len(b))
+
+    for x in lines:
+        for y in lines:
+            if x < y and abs(len(x) - len(y)) <= reach and find(x) != find(y) and distance(x, y) <= min(reach, min(len(x), len(y)) // per):
+                par[find(x)] = find(y)
+    by = collections.defaultdict(list)
+    for x in lines:
+        by[find(x)] += place[x]
+    return {p for c in by.values() for p in sorted(c)[1:]}
+
+
+@pytest.mark.parametrize("most, whole", [(1, 256), (2, 2), (32, 256)])
+def test_line_dedup_by_all_pairs(spark, most, whole, monkeypatch):
+    from veilscan.llm import lines as module
+    from veilscan.llm.lines import line_report
+
+    monkeypatch.setattr(module, "WHOLE", whole)
+    rng = np.random.default_rng(11)
+
+    def edited(x):
+        x = list(x)
+        for _ in range(rng.integers(4)):
+            i, o = rng.integers(len(x)), rng.integers(3)
+            x[i : i + int(o > 0)] = [] if o == 2 else [rng.choice(list("abcé"))]
+        return "".join(x)
+
+    base = ["".join(rng.choice(list("abc "), n)).strip() or "x" for n in (8, 14, 15, 16, 28, 29, 30, 31, 45, 45)] + ["same start of many lines, then " + w for w in prose(12, 12).split()]
+    lines = [edited(x) for x in base for _ in range(5)] + base
+    rng.shuffle(lines)
+    data = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4 + 1)]
+    got = {r.doc_id: r for r in line_report(spark.createDataFrame(data, "doc_id long, text string").repartition(4), most=most).collect()}
+    gone = line_classes(data)
+    for i, t in data:
+        left = "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        assert got[i].kept_sha256 == hashlib.sha256(left.encode()).hexdigest() and got[i].n_removed == sum(g[0] == i for g in gone)
+
+
+def test_finer_segments_miss_no_pair():
+    from veilscan.llm import lines
+    from veilscan.llm import textvec as tv
+
+    rng = np.random.default_rng(1)
+
+    def keys(x, f):
+        out = [(int(k[0]) & ~1, index) for k, _, index in f(tv.prefix_hash(np.frombuffer(x.encode("utf-32-le"), np.uint32)), np.array([0]), np.array([len(x)]))]
+        return {k for k, index in out if index}, {k for k, _ in out}
+
+    ways = [lambda h, s, n: lines.entries(h, s, n, 2, 15), lambda h, s, n: lines.finer(h, s, n, 2, 15, 8), lambda h, s, n: lines.finer(h, s, n, 2, 15, 3)]
+    for _ in range(400):
+        x = rng.choice(list("abc"), rng.integers(13, 50)).tolist()
+        y = list(x)
+        for _ in range(rng.integers(1, 3)):
+            i, o = rng.integers(len(y)), rng.integers(3)
+            y[i : i + int(o > 0)] = [] if o == 2 else ["c"]
+        a, b = sorted(("".join(x), "".join(y)), key=len)
+        if lines.within(a, b, min(2, len(a) // 15)) and len(a) >= 15:
+            assert all(keys(a, f)[0] & keys(b, f)[1] for f in ways), (a, b)
+
+
+def test_strings_that_a_running_polynomial_takes_for_equal(spark):
+    """Thue-Morse patterns of 1024 characters and their complements: equal under any polynomial mod 2^64."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from veilscan.llm import textvec as tv
+    from veilscan.llm.lines import line_report
+    from veilscan.llm.minhash import near_duplicates
+    from veilscan.llm.packing import pack
+    from veilscan.llm.substrings import remove_repeats
+
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    pair = ["".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)]
+    data = np.frombuffer("".join(pair).encode(), np.uint8)
+    s, e = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(tv.slide_hash(tv.prefix_hash(data), s, e).tolist())) == 1 and len(set(tv.span_hash(data, s, e).tolist())) == 2
+    assert tv.equal_spans(data, s, e, np.array([0, 0])).tolist() == [True, False]
+    docs = spark.createDataFrame(list(enumerate([*pair, pair[0]])), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in line_report(docs).collect()} == {0: 0, 1: 0, 2: 1}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.ids_crc32 for r in pack(docs).collect()}
+    for i, t in enumerate([*pair, pair[0]]):
+        assert got[i] == zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    check_repeats(docs, remove_repeats)
+
+
 def test_line_dedup_keeps_a_copy_of_repeated_rows(spark):
     from veilscan.llm.lines import dedup_lines, line_report
 
@@ -248,10 +358,7 @@ def test_packing(docs, none):
         assert sum(map(len, bins.values())) == 108
 
 
-def test_suffix_dedup(docs, none):
-    from veilscan.llm.substrings import blind_trie, deep_shallow, remove_repeats
-
-    data = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+def check_repeats(data, remove_repeats):
     count = collections.Counter()
     texts = {r.doc_id: (r.text or "").encode() for r in data.collect()}
     for t in texts.values():
@@ -264,6 +371,16 @@ def test_suffix_dedup(docs, none):
         runs = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
         kept = hashlib.sha256(bytes(b for b, c in zip(t, cover, strict=True) if not c)).hexdigest()
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(cover.sum()), runs, kept)
+
+
+def test_suffix_dedup(docs, none):
+    from veilscan.llm.substrings import blind_trie, deep_shallow, remove_repeats
+
+    check_repeats(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), remove_repeats)
+    # one passage in many texts, with other neighbours in each
+    rng = np.random.default_rng(5)
+    many = [(i, prose(300 + i, int(rng.integers(1, 60))) + PASSAGE[: int(rng.integers(380, 500))] + prose(400 + i, int(rng.integers(1, 60)))) for i in range(60)]
+    check_repeats(docs.sparkSession.createDataFrame(many, "doc_id long, text string").repartition(5), remove_repeats)
     assert remove_repeats(none).count() == 0
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, (300, 200)).astype(np.uint8)

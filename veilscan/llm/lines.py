@@ -1,40 +1,47 @@
 """Line dedup by a segment-partition edit join.
 
-Lines (of ``\\n``-split texts, with a word) are one class if they are equal or an edit distance of at most ``reach``
-characters links them, over any chain; lines of fewer than ``least`` characters only if they are equal. The first
-line of a class, by (id, line number, text hash), stays in its text; all others go.
-
-The join: a line is cut into reach + 1 segments of even lengths, of which a line within reach has one unchanged,
-near its place. Each line gives its segments as index entries (length, segment, hash) and, for its own and shorter
-lengths, the substrings that may equal one (multi-match-aware windows: 12 for reach 2) as probes. Lines that meet
-in an entry are candidates, held against each other by stars (graph.resolve) and confirmed by a banded
-bit-parallel edit distance on the whole lines.
+Lines (of ``\\n``-split texts, with a word) are one class if they are equal or linked, over any chain: two are linked
+at an edit distance of at most ``reach`` characters, and of one a ``per`` characters of the shorter (so with 2 and 15:
+lines of fewer than 15 characters if they are equal, of fewer than 30 at distance 1). The first line of a class, by
+(id, line number, text hash), stays in its text; all others go.
+
+The join: a line is cut into k + 1 segments of even lengths, k its distance, of which a line within k has one
+unchanged, near its place. Each line gives its segments as index entries (length, segment, hash) and, for its own and
+shorter lengths, the substrings that may equal one (multi-match-aware windows: 12 for distance 2) as probes. Lines
+that meet in an entry are candidates, confirmed by a banded bit-parallel edit distance on the whole lines. An entry
+that more than ``most`` lines share says little: its lines are cut into 8, then 24 segments, and meet in all but
+k of these instead, which every linked pair does. Entries that the same lines share are one bucket; buckets of up to
+``WHOLE`` lines are settled where their lines meet, larger ones by stars (graph.resolve).
 
 Scale: a task sends what it reads as sorted arrays: each distinct line once, with its first place, and each entry
-once, so a line that a third of all texts have is one entry a task; its other places are settled where they are
+once; of an entry crowded there, a mark and the lines, once. So a shard's rows of one entry are ``most`` a batch at
+most, and a line that a third of all texts have is one row a batch; its other places are settled where they are
 read. Texts of candidate lines, and texts that lose lines, are the only texts that travel; a bitmap of bounded
 size picks the first.
 
-Rows are told apart by id and a 64-bit hash of the text, and places are distinct (id, line number, text hash): rows
-that repeat an id with other texts lose their own lines only; those that repeat both are one place, so both keep its
-lines if it is a class's first.
+Lines are told apart by 128-bit hashes; the running hashes of segments only propose. Rows are told apart by id and a
+64-bit hash of the text, and places are distinct (id, line number, text hash): rows that repeat an id with other texts
+lose their own lines only; those that repeat both are one place, so both keep its lines if it is a class's first.
 
-Nulls: a null text has no lines; a null id is ordered last. An empty table gives none. Extra columns are kept by dedup_lines.
+Nulls: a null text has no lines; a null id is ordered last. Very long texts are cut into lines one at a time, whole. An
+empty table gives none. Extra columns, whatever their names, are ignored by line_report and kept by dedup_lines.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
 from veilscan.llm.graph import bitmap, components, hint, resolve
-from veilscan.llm.work import Work
+from veilscan.llm.work import Work, shard_bits
 
 U = np.uint64
 
@@ -93,31 +100,71 @@ def within(a: str, b: str, k: int) -> bool:
     return dist <= k
 
 
-def segments(length: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Starts and lengths of the k + 1 even segments of lines of these lengths; the last ones are longer by one."""
-    size = [(length + j) // (k + 1) for j in range(k + 1)]
-    return [sum(size[:j], np.zeros_like(length)) for j in range(k + 1)], size
+def allowed(length, reach: int, per: int):
+    """The distance at which a line of so many characters is linked, as the shorter of two: one a ``per`` characters."""
+    return np.minimum(reach, length // per)
 
 
-def entries(h: np.ndarray, s: np.ndarray, n: np.ndarray, k: int):
-    """Hash keys of lines at s of n characters (h: prefix hashes): yields (keys, is index)."""
+def segments(length: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Starts and lengths of n even segments of lines of these lengths; the last ones are longer by one."""
+    size = [(length + j) // n for j in range(n)]
+    return [sum(size[:j], np.zeros_like(length)) for j in range(n)], size
 
-    def key(start, size, length, j):
-        return tv.mix(tv.slide_hash(h, start, start + size) ^ (length.astype(U) * U(1_000_003) + U(j)) * U(tv.P))
 
-    for gap in range(k + 1):
+def entries(h: np.ndarray, s: np.ndarray, n: np.ndarray, reach: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Keys of lines at s of n characters (h: prefix hashes) by one segment of k + 1: yields (keys, whose, is index)."""
+    for gap in range(reach + 1):
+        length = n - gap
+        may = allowed(length, reach, per)
+        for k in range(max(gap, 1), reach + 1):
+            at = np.flatnonzero(may == k)
+            if not len(at):
+                continue
+            start, own = s[at], length[at]
+            p, size = segments(own, k + 1)
+            for j in range(k + 1):
+                for d in range(max(-j, gap - (k - j)), min(j, gap + (k - j)) + 1):
+                    x = start + p[j] + d
+                    yield tv.mix(tv.slide_hash(h, x, x + size[j]) ^ (own.astype(U) * U(1_000_003) + U(j)) * U(tv.P)), at, gap == 0 and d == 0
+
+
+def finer(h: np.ndarray, s: np.ndarray, n: np.ndarray, reach: int, per: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """As entries, by all but k of ``parts`` segments: k edits lie in k segments at most, so what stands before, between
+    and after some k of them is unchanged, and moved by a step that the edits before it explain."""
+
+    def piece(x, y):
+        return tv.slide_hash(h, x, np.maximum(x, y))
+
+    for gap in range(reach + 1):
         length = n - gap
-        p, size = segments(length, k)
-        for j in range(k + 1):
-            lo, hi = max(-j, gap - (k - j)), min(j, gap + (k - j))
-            for d in range(lo, hi + 1):
-                yield key(s + p[j] + d, size[j], length, j), gap == 0 and d == 0
+        may = allowed(length, reach, per)
+        for k in range(max(gap, 1), reach + 1):
+            at = np.flatnonzero(may == k)
+            if not len(at):
+                continue
+            s0, own = s[at], length[at]
+            p, size = segments(own, parts)
+            p = [*p, own]
+            tag = own.astype(U) * U(1_000_003) + U(parts << 32)
+            for chosen in itertools.combinations(range(parts), k):
+                # steps after each chosen segment: an edit each, or all in one of two neighbours, when nothing stands between
+                between = [(i, chosen[i] + 1, chosen[i + 1]) for i in range(k - 1) if chosen[i] + 1 < chosen[i + 1]]
+                steps = itertools.product(range(-(k - 1), k), repeat=len(between))
+                for step in steps:
+                    path = [0, *step, gap]
+                    if between and sum(abs(b - a) for a, b in zip(path, path[1:], strict=False)) > k:
+                        continue
+                    key = piece(s0, s0 + p[chosen[0]]) * U(3) ^ piece(s0 + p[chosen[-1] + 1] + gap, s0 + own + gap)
+                    for d, (_, x, y) in zip(step, between, strict=True):
+                        key = tv.mix(key ^ piece(s0 + p[x] + d, s0 + p[y] + d))
+                    where = sum((c + 1) << 8 * i for i, c in enumerate(chosen))
+                    yield tv.mix(key ^ tv.mix(tag + U(where))), at, gap == 0 and not any(step)
 
 
 def line_table(column: pa.Array):
-    """For each block: (first row, text, code-point array, byte starts, byte ends, code-point starts, lengths, row, number, hash)
-    of its lines with a word."""
-    for i, j, data, offs in tv.blocks(column):
+    """For each block: (first row, bytes, byte starts, byte ends, code-point starts, lengths, row, number, hash, check) of its
+    lines with a word; hash and check are the halves of a 128-bit hash."""
+    for i, _, data, offs in tv.blocks(column):
         if not len(data):
             continue
         brk = np.flatnonzero(data == 10)
@@ -132,71 +179,93 @@ def line_table(column: pa.Array):
         some = worded[e] > worded[s]
         s, e, row, number = s[some], e[some], row[some], number[some]
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        h = tv.slide_hash(tv.prefix_hash(data), s, e)
-        yield i, data, s, e, lead[s], lead[e] - lead[s], row, number, h
+        raw = memoryview(np.ascontiguousarray(data))
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b], tv.SEED) for a, b in zip(s.tolist(), e.tolist(), strict=True)), "<u8").reshape(-1, 2)
+        yield i, data, s, e, lead[s], lead[e] - lead[s], row, number, np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
 
 
-SENT = "kind string, shard long, a binary, b binary, c binary, d binary"
+SENT = "kind string, shard long, a binary, b binary, c binary, d binary, e binary"
 
 
 def _rows(rows):
-    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "a", "b", "c", "d"])
+    kinds = [pa.string(), pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([(*r, *[None] * (7 - len(r)))[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "a", "b", "c", "d", "e"])
 
 
+#: Lines of a bucket that one task holds against each other.
+WHOLE = 256
 LAST = np.iinfo(np.int64).max
 
 
-def _places(h, d, no, th):
-    """Distinct places, ordered by line hash, then id, number and text hash; and which are the first of their line."""
-    order = np.lexsort((th, no, d, h))
-    h, d, no, th = h[order], d[order], no[order], th[order]
-    line = np.concatenate([[True], h[1:] != h[:-1]])
+def _places(h, check, d, no, th):
+    """Distinct places, ordered by line, then id, number and text hash; and which are the first of their line."""
+    order = np.lexsort((th, no, d, check, h))
+    h, check, d, no, th = (x[order] for x in (h, check, d, no, th))
+    line = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
     new = line | np.concatenate([[True], (d[1:] != d[:-1]) | (no[1:] != no[:-1]) | (th[1:] != th[:-1])])
-    return h[new], d[new], no[new], th[new], line[new]
-
-
-def _first_pass(k: int, least: int, bits: int):
-    """Sends 'line' (hashes; ids; numbers; text hashes) and 'key' (entries; lines) rows by shard, 'gone' rows (ids; numbers; text
-    hashes) for places that a smaller one of the same batch settles."""
-
-    def cuts(keys):
-        shard = (keys >> U(64 - bits)).astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else np.zeros(1, int)
-        return [(int(shard[x]), slice(x, y)) for x, y in zip(at[:-1], at[1:], strict=True)]
+    return h[new], check[new], d[new], no[new], th[new], line[new]
+
+
+def _cuts(keys, bits):
+    """Shards, by the top bits, of sorted keys, and where they are."""
+    shard = (keys >> U(64 - bits)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    return [(int(shard[x]), slice(x, y)) for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _keyed(held: list, bits: int, most: int | None) -> list:
+    """Rows of entries (keys, lines): 'key' rows by shard; where more than ``most`` lines have a key, 'hot' rows with the key
+    and 'node' rows with the lines instead."""
+    keys, of = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    order = np.lexsort((of, keys))
+    keys, of = keys[order], of[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])[: len(keys)]
+    keys, of = keys[new], of[new]
+    rows = []
+    if most is not None and len(keys):
+        key = keys >> U(1)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(at, len(key)))
+        crowd = np.repeat(n > most, n)
+        if crowd.any():
+            marks = keys[at][n > most]
+            rows = [("hot", x, tv.pack(marks[y])) for x, y in _cuts(marks, bits)]
+            rows.append(("node", -1, np.unique(of[crowd]).tobytes()))
+            keys, of = keys[~crowd], of[~crowd]
+    return rows + [("key", x, tv.pack(keys[at]), of[at].tobytes()) for x, at in _cuts(keys, bits)]
+
+
+def _first_pass(reach: int, per: int, bits: int, most: int):
+    """Sends 'line' rows (hashes; ids; numbers; text hashes; checks) by shard, 'gone' rows (ids; numbers; text hashes) for places
+    that a smaller one of the same batch settles, and entries (see _keyed)."""
 
     def run(batches):
-        held, size = [], 0
+        held, found, size = [], [], 0
 
         def flush():
-            h, d, no, th, new = _places(*(np.concatenate([x[i] for x in held]) for i in range(4)))
-            rows = [("gone", -1, d[~new].tobytes(), no[~new].tobytes(), th[~new].tobytes(), None)]
-            h, d, no, th = h[new], d[new], no[new], th[new]
-            rows += [("line", x, tv.pack(h[at]), d[at].tobytes(), no[at].tobytes(), th[at].tobytes()) for x, at in cuts(h)]
-            keys, of = (np.concatenate([x[i] for x in held]) for i in (4, 5))
+            h, check, d, no, th, new = _places(*(np.concatenate([x[i] for x in held]) for i in range(5)))
+            rows = [("gone", -1, d[~new].tobytes(), no[~new].tobytes(), th[~new].tobytes())]
+            h, check, d, no, th = (x[new] for x in (h, check, d, no, th))
+            rows += [("line", x, tv.pack(h[at]), d[at].tobytes(), no[at].tobytes(), th[at].tobytes(), check[at].tobytes()) for x, at in _cuts(h, bits)]
+            if found:
+                rows += _keyed(found, bits, most)
             held.clear()
-            order = np.lexsort((of, keys))
-            keys, of = keys[order], of[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])[: len(keys)]
-            keys, of = keys[new], of[new]
-            rows += [("key", x, tv.pack(keys[at]), of[at].tobytes(), None, None) for x, at in cuts(keys)]
+            found.clear()
             return _rows(rows)
 
         for b in batches:
             ids = np.array([LAST if x is None else x for x in b.column(0).to_pylist()], np.int64)
             own = b.column(2).to_numpy(zero_copy_only=False)
-            for i, data, _, _, cs, n, row, number, h in line_table(b.column(1)):
-                long_ = n >= least
+            for i, data, _, _, cs, n, row, number, h, check in line_table(b.column(1)):
                 cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-                ch, keys, of = tv.prefix_hash(cp), [], []
+                ch = tv.prefix_hash(cp)
                 # a line that is here twice sends its entries once
-                _, at = np.unique(h[long_], return_index=True)
-                where = np.flatnonzero(long_)[at]
-                for key, index in entries(ch, cs[where], n[where], k):
-                    keys.append(key & ~U(1) | U(index))
-                    of.append(h[where])
-                held.append((h, ids[i + row], number.astype(np.int32), own[i + row], np.concatenate(keys), np.concatenate(of)))
-                size += len(h) + 13 * len(where)
+                _, at = np.unique(h, return_index=True)
+                for key, whose, index in entries(ch, cs[at], n[at], reach, per):
+                    found.append((key & ~U(1) | U(index), h[at][whose]))
+                    size += len(key)
+                held.append((h, check, ids[i + row], number.astype(np.int32), own[i + row]))
+                size += len(h)
                 if size > 1_500_000:
                     yield flush()
                     size = 0
@@ -206,92 +275,223 @@ def _first_pass(k: int, least: int, bits: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """A shard's entries -> (bucket, node): lines that share an entry that is some line's segment."""
-    k = np.concatenate([tv.unpack(x.as_py()) for x in table["a"]])
-    of = np.concatenate([np.frombuffer(x.as_py(), U) for x in table["b"]])
-    order = np.lexsort((of, k >> U(1)))
-    k, of = k[order], of[order]
-    key, index = k >> U(1), k & U(1)
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    at = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    fresh = new | np.concatenate([[True], of[1:] != of[:-1]])
-    some = (np.add.reduceat(fresh.astype(np.int64), at) > 1) & (np.add.reduceat(index.astype(np.int64), at) > 0)
-    keep = some[group] & fresh
-    return pa.table({"bucket": pa.array(key[keep].view(np.int64)), "node": pa.array(of[keep].view(np.int64))})
+def _second_pass(reach: int, per: int, bits: int, parts: int, most: int | None):
+    """(node, text) -> entries by finer segments (see _keyed)."""
+
+    def run(batches):
+        found, size = [], 0
+        for b in batches:
+            cps = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in b.column(1).to_pylist()]
+            node = b.column(0).to_numpy().view(U)
+            n = np.array([len(x) for x in cps], np.int64)
+            if not len(n):
+                continue
+            ch = tv.prefix_hash(np.concatenate(cps))
+            for key, whose, index in finer(ch, np.cumsum(n) - n, n, reach, per, parts):
+                found.append((key & ~U(1) | U(index), node[whose]))
+                size += len(key)
+                if size > 1_500_000:
+                    yield _rows(_keyed(found, bits, most))
+                    found, size = [], 0
+        if found:
+            yield _rows(_keyed(found, bits, most))
+
+    return run
+
+
+def _meet(most: int | None):
+    """A shard's entries -> (bucket, node, hot): lines that share an entry that is some line's segment; hot ones, which go
+    to the next pass, where more than ``most`` do, or did in some batch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {k: [r for r in zip(table["kind"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), strict=True) if r[0] == k] for k in ("key", "hot")}
+        empty = np.zeros(0, U)
+        k = np.concatenate([empty, *(tv.unpack(r[1]) for r in rows["key"])])
+        of = np.concatenate([empty, *(np.frombuffer(r[2], U) for r in rows["key"])])
+        marks = np.unique(np.concatenate([empty, *(tv.unpack(r[1]) for r in rows["hot"])]) >> U(1))
+        order = np.lexsort((of, k >> U(1)))
+        k, of = k[order], of[order]
+        key, index = k >> U(1), k & U(1)
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        at = np.flatnonzero(new)
+        if not len(at):
+            return pa.table({"bucket": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "hot": pa.array([], pa.bool_()), "size": pa.array([], pa.int64())})
+        group = np.cumsum(new) - 1
+        fresh = new | np.concatenate([[True], of[1:] != of[:-1]])
+        n = np.add.reduceat(fresh.astype(np.int64), at)
+        marked = np.isin(key[at], marks)
+        some = ((n > 1) & (np.add.reduceat(index.astype(np.int64), at) > 0)) | marked
+        hot = marked | (n > (most if most is not None else len(key)))
+        keep = some[group] & fresh
+        # a bucket goes by the set of its lines: entries that the same lines share are one
+        which = tv.mix(np.add.reduceat(np.where(fresh, tv.mix(of ^ U(0x51)), U(0)), at))[group]
+        name, node, hot, size = which[keep], of[keep], hot[group][keep], n[group][keep]
+        order = np.lexsort((node, name, hot))
+        name, node, hot, size = name[order], node[order], hot[order], size[order]
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (node[1:] != node[:-1]) | (hot[1:] != hot[:-1])])[: len(name)]
+        return pa.table({"bucket": pa.array(name[new].view(np.int64)), "node": pa.array(node[new].view(np.int64)), "hot": pa.array(hot[new]), "size": pa.array(size[new])})
+
+    return run
 
 
 def _firsts(table: pa.Table) -> pa.Table:
-    """A shard's lines -> (node, id, number, th, gone): each line's first place, and its other places, marked."""
+    """A shard's lines -> (node, chk, id, number, th, gone): each line's first place, and its other places, marked."""
     h = np.concatenate([tv.unpack(x.as_py()) for x in table["a"]])
     d = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["b"]])
     no = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table["c"]])
     th = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["d"]])
-    h, d, no, th, first = _places(h, d, no, th)
-    return pa.table({"node": pa.array(h.view(np.int64)), "id": pa.array(d), "number": pa.array(no, pa.int32()), "th": pa.array(th), "gone": pa.array(~first)})
+    check = np.concatenate([np.frombuffer(x.as_py(), U) for x in table["e"]])
+    h, check, d, no, th, first = _places(h, check, d, no, th)
+    return pa.table({"node": pa.array(h.view(np.int64)), "chk": pa.array(check.view(np.int64)), "id": pa.array(d), "number": pa.array(no, pa.int32()), "th": pa.array(th), "gone": pa.array(~first)})
 
 
 def _texts(bits, log: int):
-    """(node, text) of lines whose hash is in the bitmap."""
+    """(node, chk, text) of lines whose hash is in the bitmap."""
 
     def run(batches):
         words = np.frombuffer(bits.value, U)
         for b in batches:
-            node, text = [], []
-            for _, data, s, e, _, _, _, _, h in line_table(b.column(0)):
+            node, check, text = [], [], []
+            for _, data, s, e, _, _, _, _, h, c in line_table(b.column(0)):
                 x = tv.mix(h) >> U(64 - log)
                 hit = np.flatnonzero(words[(x >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1))
+                # once a block
+                hit = hit[np.unique(h[hit], return_index=True)[1]]
                 raw = data.tobytes()
                 node += h[hit].view(np.int64).tolist()
+                check += c[hit].view(np.int64).tolist()
                 text += [raw[p:q] for p, q in zip(s[hit].tolist(), e[hit].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], ["node", "chk", "text"])
 
     return run
 
 
-def _confirm(k: int):
+def _confirm(reach: int, per: int):
     def run(batches):
         for b in batches:
-            keep = pa.array([within(x, y, k) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            ok = [within(x, y, int(allowed(min(len(x), len(y)), reach, per))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
+def _held_whole(reach: int, per: int):
+    """(bucket, node, text), a bucket's rows together, WHOLE at most -> edges that connect what is linked in a bucket."""
+
+    def edges(rows, known):
+        rows = sorted({(len(t), x, t) for x, t in rows})
+        root = list(range(len(rows)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, (n, x, t) in enumerate(rows):
+            k = int(allowed(n, reach, per))
+            for j in range(i + 1, len(rows)):
+                m, y, u = rows[j]
+                if m > n + k:
+                    break
+                p, q = find(i), find(j)
+                if p == q:
+                    continue
+                if (ok := known.get((x, y))) is None:
+                    ok = known[x, y] = within(t, u, k)
+                if ok:
+                    root[max(p, q)] = min(p, q)
+                    yield x, y
+
+    def run(batches):
+        bucket, rows, known = None, [], {}
+
+        def done():
+            found = [(min(e), max(e)) for e in edges(rows, known)]
+            if len(known) > 200_000:
+                known.clear()
+            return found
+
+        for b in batches:
+            found = []
+            for name, x, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if name != bucket:
+                    found += done()
+                    bucket, rows = name, []
+                rows.append((x, t))
+            yield _edges(found)
+        yield _edges(done())
+
+    return run
+
+
+def _edges(found):
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _unpacked(batches):
     for b in batches:
         for x, y, z in zip(b.column(0), b.column(1), b.column(2), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)), pa.array(np.frombuffer(y.as_py(), np.int32)), pa.array(np.frombuffer(z.as_py(), np.int64))], ["id", "number", "th"])
 
 
-def gone_lines(work: Work, docs: DataFrame, reach: int = 2, least: int = 30) -> DataFrame:
+def _nodes(batches):
+    for b in batches:
+        for x in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["node"])
+
+
+def _met(work: Work, sent: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines that share entries: buckets to be resolved, the lines of hot ones, and the table of both."""
+    met = work.save(sent.where("kind in ('key', 'hot')").select("shard", "kind", "a", "b").groupBy("shard").applyInArrow(_meet(most), "bucket long, node long, hot boolean, size long"))
+    hot = met.where("hot").select("node").unionByName(sent.where("kind = 'node'").select("a").mapInArrow(_nodes, "node long"))
+    return met.where("not hot").select("bucket", "node", "size"), hot.distinct(), met
+
+
+def gone_lines(work: Work, docs: DataFrame, reach: int = 2, per: int = 15, most: int = 32, parts: tuple[int, ...] = (8, 24)) -> DataFrame:
     """docs (id, text) -> (id, th, numbers): the line numbers (from 0) each text loses; th is xxhash64 of the text, a null id 2^63 - 1."""
-    bits = min(16, max(4, int(np.ceil(np.log2(max(1, docs.rdd.getNumPartitions()))))))
-    sent = work.save(docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(_first_pass(reach, least, bits), SENT))
-    firsts = work.save(sent.where("kind = 'line'").groupBy("shard").applyInArrow(_firsts, "node long, id long, number int, th long, gone boolean"))
+    bits = shard_bits(docs, 4)
+    sent = work.save(docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(_first_pass(reach, per, bits, most), SENT))
+    firsts = work.save(sent.where("kind = 'line'").groupBy("shard").applyInArrow(_firsts, "node long, chk long, id long, number int, th long, gone boolean"))
     gone = sent.where("kind = 'gone'").select("a", "b", "c").mapInArrow(_unpacked, "id long, number int, th long").unionByName(firsts.where("gone").select("id", "number", "th"))
-    members = members_table = work.save(sent.where("kind = 'key'").groupBy("shard").applyInArrow(_meet, "bucket long, node long"))
-    if not members.isEmpty():
-        wanted = members.select("node").distinct()
+    members, hot, met = _met(work, sent, most)
+    spent = [sent, firsts, met]
+    hot = work.save(hot)
+    wanted = work.save(members.select("node").unionByName(hot).distinct())
+    if not wanted.isEmpty():
         words, log = bitmap_of_hashes(wanted)
-        some = docs.select("text").mapInArrow(_texts(docs.sparkSession.sparkContext.broadcast(words), log), "node long, text string")
-        members = members.withColumn("n", F.lit(1))
-        texts = work.save(some.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"))
+        some = docs.select("text").mapInArrow(_texts(docs.sparkSession.sparkContext.broadcast(words), log), "node long, chk long, text string")
+        texts = work.save(some.groupBy("node").agg(F.min(F.struct("chk", "text")).alias("x")).select("node", "x.chk", "x.text").join(wanted, "node", "left_semi"))
+        for i, n in enumerate(parts):  # crowded entries: finer ones, until none is crowded or the last
+            rows = hot.count()
+            if not rows:
+                break
+            last = None if i == len(parts) - 1 else most
+            again = work.save(texts.join(hint(hot, rows), "node", "left_semi").select("node", "text").mapInArrow(_second_pass(reach, per, bits, n, last), SENT))
+            more, hot, met = _met(work, again, last)
+            members, hot = members.unionByName(more), work.save(hot)
+            spent += [again, met]
+        members = members.distinct()
+        few = members.where(F.col("size") <= WHOLE).join(texts, "node").select("bucket", "node", "text")
+        edges = work.save(few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_held_whole(reach, per), "a long, b long").distinct())
+        crowds = members.where(F.col("size") > WHOLE).select("bucket", "node", F.lit(1).alias("n"))
         a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
         def linked(pairs: DataFrame) -> DataFrame:
-            return hint(pairs).join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(reach), "a long, b long")
+            return hint(pairs).join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm(reach, per), "a long, b long")
 
-        edges = resolve(work, members, linked)
+        if not crowds.isEmpty():
+            edges = edges.unionByName(resolve(work, crowds, linked))
         if not edges.isEmpty():
             comp = work.save(components(work, edges))
             comp = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
-            place = firsts.where("not gone").join(comp, "node").select("component", F.struct("id", "number", "th").alias("p"))
+            # two lines of one 64-bit hash are two: links hold for the one whose text was held against others
+            comp = comp.join(texts.select("node", "chk"), "node")
+            place = firsts.where("not gone").join(comp, ["node", "chk"]).select("component", F.struct("id", "number", "th").alias("p"))
             best = place.groupBy("component").agg(F.min("p").alias("best"))
             gone = gone.unionByName(place.join(best, "component").where("p <> best").select("p.id", "p.number", "p.th"))
     out = work.save(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("number")).alias("numbers")))
-    work.drop(sent, firsts, members_table)
+    work.drop(*spent)
     return out
 
 
