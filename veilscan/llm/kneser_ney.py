@@ -33,8 +33,8 @@ from veilscan.llm.work import Work, shard_bits
 U = np.uint64
 #: Words of a chunk.
 HELD = 2_000_000
-#: Of a Model's numbers only: counts and scores of texts have whole hashes.
-WORD_BITS, FAR_BITS = 24, 12
+#: Scores of pairs travel as negative log-probabilities in steps of 1 / STEP: a text's mean is off by half a step at most.
+STEP = 900
 
 
 def events(wh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,9 +77,14 @@ def coded(*columns: np.ndarray) -> bytes:
     return len(values).to_bytes(8, "little") + values + squash(at)
 
 
-def decoded(blob: bytes, columns: int) -> np.ndarray:
+def places(blob: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
     cut = 8 + int.from_bytes(blob[:8], "little")
-    return tv.unpack(blob[8:cut])[unsquash(blob[cut:])].reshape(columns, -1)
+    return tv.unpack(blob[8:cut]), unsquash(blob[cut:]).reshape(columns, -1)
+
+
+def decoded(blob: bytes, columns: int) -> np.ndarray:
+    values, at = places(blob, columns)
+    return values[at]
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -159,17 +164,32 @@ def _count(bits: int):
     return run
 
 
-def _shard(bits: int):
+def _shard(bits: int, finer: int):
+    """Events travel in few shards, whose dictionaries are small for what they hold; each is split here by ``finer`` bits."""
+
     def run(table: pa.Table) -> pa.Table:
-        """One shard's events -> rows: pairs with counts, each chunk's pairs, words by ranges, counts of counts."""
+        """One shard's events -> rows by finer shards: pairs with counts, each chunk's pairs, words by ranges, counts of counts."""
         lang, shard = table["lang"][0].as_py(), table["shard"][0].as_py()
         if shard < 0:  # texts go by, to be written once
             return table
         chunks = table["chunk"].to_pylist()
-        parts = [decoded(x.as_py(), 3) for x in table["a"]]
+        parts = [(x, at.astype(np.uint32)) for x, at in (places(x.as_py(), 3) for x in table["a"])]
+        out = []
+        for sub in range(1 << finer):
+            # v is the first column, in order
+            low = U((shard << finer) + sub)
+            part = []
+            for x, at in parts:
+                a = np.searchsorted(at[0], np.searchsorted(x, low << U(64 - bits - finer)))
+                b = at.shape[1] if sub == (1 << finer) - 1 else np.searchsorted(at[0], np.searchsorted(x, (low + U(1)) << U(64 - bits - finer)))
+                part.append(x[at[:, a:b]])
+            if any(x.shape[1] for x in part):
+                out.append(_batch(merged(part, lang, int(low), chunks)))
+        return pa.Table.from_batches(out)
+
+    def merged(parts, lang, shard, chunks):
         src = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
         v, w, u = np.concatenate(parts, axis=1)
-        del parts
         order = np.lexsort((u, w, v))
         v, w, u, src = v[order], w[order], u[order], src[order]
         new = changes(v, w)
@@ -186,8 +206,7 @@ def _shard(bits: int):
         least, of = np.unique(np.minimum(c, 5), return_counts=True)
         rows.append((lang, "least", shard, None, tv.pack(least.astype(U)), squash(of), None))
         k, n = np.unique(w, return_counts=True)
-        rows += [(lang, "word", x, str(shard), tv.pack(k[y]), squash(n[y]), None) for x, y in _cuts(k, bits)]
-        return pa.Table.from_batches([_batch(rows)])
+        return rows + [(lang, "word", x, str(shard), tv.pack(k[y]), squash(n[y]), None) for x, y in _cuts(k, bits + finer)]
 
     return run
 
@@ -221,7 +240,7 @@ def _scores(discounts: dict, totals: dict):
         types, all_, seen_types, seen = totals[lang]
         rare = max(all_ - seen, 1) / max(types - seen_types, 1) / max(all_, 1)
         pc = np.where(n > 1, n / max(all_, 1), rare)[np.searchsorted(k, w)]
-        score = log_prob(share, mass[ctx], pc).astype("<f4")
+        score = np.minimum(np.rint(-log_prob(share, mass[ctx], pc) * STEP), 65535).astype("<u2")
         return pa.Table.from_batches([_batch([(lang, "score", shard, r["chunk"], score[tv.unpack(r["a"]).astype(np.int64)].tobytes(), None, None) for r in blobs["at"]])])
 
     return run
@@ -234,53 +253,29 @@ def _sums(table: pa.Table) -> pa.Table:
     """A chunk's texts and its pairs' log-probabilities -> each text's mean loss a word."""
     rows = table.to_pylist()
     (text,) = (r for r in rows if r["kind"] == "text")
-    score = np.concatenate([np.frombuffer(r["a"], "<f4") for r in sorted((r for r in rows if r["kind"] == "score"), key=lambda r: r["shard"])])
+    score = np.concatenate([np.frombuffer(r["a"], "<u2") for r in sorted((r for r in rows if r["kind"] == "score"), key=lambda r: r["shard"])])
     n = unsquash(text["b"])
     t1, t2 = np.frombuffer(text["a"], np.int64).reshape(2, -1)
     total = np.add.reduceat(score[unsquash(text["c"])].astype(float), np.cumsum(n) - n)
-    return pa.table({"lang": pa.array([text["lang"]] * len(n), pa.string()), "t1": pa.array(t1), "t2": pa.array(t2), "loss": pa.array(-total / n)})
+    return pa.table({"lang": pa.array([text["lang"]] * len(n), pa.string()), "t1": pa.array(t1), "t2": pa.array(t2), "loss": pa.array(total / n / STEP)})
 
 
 def log_prob(own: np.ndarray, back: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(own + back * word, 1e-30))
 
 
-class Model:
-    """A small model held whole: numbered contexts and words, events v << 24 | w with discounted shares."""
-
-    def __init__(self):
-        self.by: dict[str, dict[str, np.ndarray]] = {}
-
-    def log_probs(self, lang: str, ev: np.ndarray) -> np.ndarray:
-        m = self.by.get(lang)
-        if m is None or not len(ev):
-            return np.zeros(len(ev))
-        uniq, inv = np.unique(ev >> U(FAR_BITS), return_inverse=True)
-
-        def find(keys, values, q, missing):
-            if not len(keys):
-                return np.full(len(q), missing)
-            at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-            return np.where(keys[at] == q, values[at], missing)
-
-        word = find(m["words"], m["pc"], (uniq & U((1 << WORD_BITS) - 1)).astype(np.uint32), m["rare"])
-        own = find(m["events"], m["share"], uniq, 0.0)
-        back = find(m["contexts"], m["mass"], (uniq >> U(WORD_BITS)).astype(np.uint32), 1.0)
-        return log_prob(own, back, word)[inv]
-
-
 def losses(work: Work, docs: DataFrame) -> DataFrame:
     """docs (text, lang, t1, t2; the last two hash the text) -> lang, t1, t2, loss: a row a distinct text with a word; the mean
     negative log-probability a word under the model of all texts of its language ('' for null)."""
-    bits = shard_bits(docs, 3, each=16 << 20)
+    bits, finer = shard_bits(docs, 1, each=64 << 20, parts=False), 2
 
-    def save(df: DataFrame) -> DataFrame:
-        out = work.save(df)
+    def save(df: DataFrame, by: str | None = None) -> DataFrame:
+        out = work.save(df, by)
         del df
         work.spark.sparkContext._jvm.System.gc()  # Spark's cleaner then frees shuffles that are no longer read
         return out
 
-    shards = save(docs.select("text", "lang", "t1", "t2").mapInArrow(_count(bits), SENT).groupBy("lang", "shard").applyInArrow(_shard(max(4, bits // 2)), SENT))
+    shards = save(docs.select("text", "lang", "t1", "t2").mapInArrow(_count(bits), SENT).groupBy("lang", "shard").applyInArrow(_shard(bits, finer), SENT), "kind")
     words = save(shards.where("kind = 'word'").groupBy("lang", "shard").applyInArrow(_words, SENT))
     # a few numbers a language
     counts: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
@@ -298,6 +293,8 @@ def losses(work: Work, docs: DataFrame) -> DataFrame:
     known = shards.where("kind in ('pair', 'at')").unionByName(words.where("kind = 'pc'"))
     scores = save(known.groupBy("lang", "shard").applyInArrow(_scores(discounts, totals), SENT))
     work.drop(words)
+    for kind in ("pair", "at"):
+        work.drop(shards, only=f"kind={kind}")
     every = scores.unionByName(shards.where("kind = 'text'")).groupBy("lang", "chunk").applyInArrow(_sums, LOSS)
     out = save(every.groupBy("lang", "t1", "t2").agg(F.min("loss").alias("loss")))
     work.drop(shards, scores)

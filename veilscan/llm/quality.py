@@ -92,15 +92,15 @@ def _keys(text, lang) -> list:
 def bands(scored: DataFrame, reach: float, floor: float) -> DataFrame:
     """lang, low, high: from exact medians of a histogram in steps of 0.001."""
 
-    def middle(rows: DataFrame) -> DataFrame:
-        cells = rows.groupBy("lang", "cell").agg(F.count("*").alias("n"))
+    def middle(cells: DataFrame) -> DataFrame:
+        cells = cells.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
         run = W.partitionBy("lang").orderBy("cell")
         cells = cells.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(W.partitionBy("lang")))
         return cells.where("2 * upto >= all").groupBy("lang").agg(F.min("cell").alias("mid"))
 
-    rows = scored.select("lang", F.round(F.col("loss") * 1000).cast("long").alias("cell"))
-    mid = middle(rows)
-    dev = middle(rows.join(mid, "lang").select("lang", F.abs(F.col("cell") - F.col("mid")).alias("cell"))).withColumnRenamed("mid", "dev")
+    cells = scored.groupBy("lang", F.round(F.col("loss") * 1000).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    mid = middle(cells)
+    dev = middle(cells.join(mid, "lang").select("lang", F.abs(F.col("cell") - F.col("mid")).alias("cell"), "n")).withColumnRenamed("mid", "dev")
     width = reach * F.greatest(F.lit(floor), 1.4826 * F.col("dev") / 1000)
     return mid.join(dev, "lang").select("lang", (F.col("mid") / 1000 - width).alias("low"), (F.col("mid") / 1000 + width).alias("high"))
 

@@ -35,18 +35,21 @@ class Work:
         # Small Arrow batches: texts may be very long, and a batch is held whole by a Python worker.
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """df written as Parquet and read back: cuts the lineage, survives lost executors."""
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """df written as Parquet and read back: cuts the lineage, survives lost executors. ``by``: a folder for each value of it."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        write = df.write.option("compression", "zstd")
+        (write.partitionBy(by) if by else write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        out = out.select(*df.columns) if by else out
         out._veilscan_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
+    def drop(self, *tables: DataFrame, only: str = "") -> None:
+        """Frees tables, or of one that is saved by a column the folder ``only``."""
         for t in tables:
-            self._delete(t._veilscan_path)
+            self._delete(t._veilscan_path + (f"/{only}" if only else ""))
 
     def close(self) -> None:
         """All that is left, when the driver ends: results may read it until then."""
@@ -59,12 +62,12 @@ class Work:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shard_bits(docs: DataFrame, least: int, most: int = 16, each: int = 8 << 20) -> int:
-    """Log2 of a number of shards for what docs holds: one for ``each`` bytes that Spark expects, or for each partition."""
-    n = max(1, docs.rdd.getNumPartitions())
+def shard_bits(docs: DataFrame, least: int, most: int = 16, each: int = 8 << 20, parts: bool = True) -> int:
+    """Log2 of a number of shards for what docs holds: one for ``each`` bytes that Spark expects, and (if ``parts``, or where it
+    has no idea) one for each partition."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < 1 << 55:  # else unknown
-        n = max(n, size // each)
+    known = size < 1 << 55
+    n = max(1, size // each if known else 1, docs.rdd.getNumPartitions() if parts or not known else 1)
     return min(most, max(least, (n - 1).bit_length()))
 
 
