@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilscan import vocab
+from veilscan import cases, vocab
 from veilscan.functions import fields as K
 from veilscan.functions import text as T
 from veilscan.operators import joins as J
@@ -74,14 +74,14 @@ def line_explode(spark, d):
 SELECT a.doc_id, a.line_no, string_agg(CASE WHEN b.line_no = a.line_no THEN '>' ELSE ' ' END || printf('%4d', b.line_no) || ' | ' || b.text, chr(10) ORDER BY b.line_no) AS snippet
 FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 2 AND a.line_no + 2 WHERE contains(a.text, '@') GROUP BY a.doc_id, a.line_no""")
 def line_snippet(spark, d):
-    return doc_lines(spark, d).withColumn("snippet", L.snippet("doc_id")).where(F.col("text").contains("@")).select("doc_id", "line_no", "snippet")
+    return L.around(t(spark, d, "documents"), "doc_id", "text", lambda x: x.contains("@"), 2, 2, "snippet").select("doc_id", "line_no", "snippet")
 
 
 @query(f"""WITH {LINES}
 SELECT a.doc_id, a.line_no, string_agg(CASE WHEN b.line_no = a.line_no THEN '>' ELSE ' ' END || printf('%4d', b.line_no) || ' | ' || b.text, chr(10) ORDER BY b.line_no) AS snippet
 FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no - 1 AND a.line_no + 2 WHERE contains(a.text, 'token =') GROUP BY a.doc_id, a.line_no""")
 def flow_snippet(spark, d):
-    return doc_lines(spark, d).withColumn("snippet", L.snippet("doc_id", 1, 2)).where(F.col("text").contains("token =")).select("doc_id", "line_no", "snippet")
+    return L.around(t(spark, d, "documents"), "doc_id", "text", lambda x: x.contains("token ="), 1, 2, "snippet").select("doc_id", "line_no", "snippet")
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, regexp_extract(text, '{vocab.EMAIL}') AS email FROM l WHERE regexp_matches(text, '{vocab.EMAIL}')")
@@ -195,40 +195,56 @@ def financial_ctx(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", T.is_financial_context("text").alias("finance"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, {sql_first('lower(text)', vocab.LOG_WORDS)} AS word FROM l WHERE {sql_any('lower(text)', vocab.LOG_WORDS)}")
+def sql_pick(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + f"][CAST(event_id % {len(words)} AS INTEGER) + 1]"
+
+
+def pick(words: list[str]):
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % len(words) + 1).cast("int"))
+
+
+@query(f"WITH e AS (SELECT event_id, 'Now ' || event_type || ' ' || upper({sql_pick(vocab.LOG_WORDS + ['none'])}) AS text FROM events) SELECT event_id, {sql_first('lower(text)', vocab.LOG_WORDS)} AS word FROM e WHERE {sql_any('lower(text)', vocab.LOG_WORDS)}")
 def first_sensitive_word(spark, d):
-    return doc_lines(spark, d).select("doc_id", "line_no", T.first_contained(F.lower("text"), vocab.LOG_WORDS).alias("word")).where("word is not null")
+    e = t(spark, d, "events").select("event_id", F.concat(F.lit("Now "), "event_type", F.lit(" "), F.upper(pick(vocab.LOG_WORDS + ["none"]))).alias("text"))
+    return e.select("event_id", T.first_contained(F.lower("text"), vocab.LOG_WORDS).alias("word")).where("word is not null")
 
 
-MARK = "contains(text, 'License') OR contains(text, 'licen')"
+#: Events as the lines of files: one a user, by event.
+EVENT_LINES = "l AS (SELECT user_id AS file, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS line_no, event_type || ' ' || CAST(event_id % 11 AS VARCHAR) AS text FROM events)"
 
 
-@query(f"""WITH {LINES}, m AS (SELECT doc_id, line_no, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM l WHERE {MARK}), z AS (SELECT doc_id, max(line_no) AS last FROM l GROUP BY doc_id)
-SELECT m.doc_id, m.line_no FROM m JOIN z ON m.doc_id = z.doc_id WHERE coalesce(nxt, 1073741824) > line_no + 6 AND last >= line_no + 6""")
+def event_lines(spark, d):
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    return t(spark, d, "events").select(F.col("user_id").alias("file"), n.alias("line_no"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 11).cast("string")).alias("text"))
+
+
+@query(f"""WITH {EVENT_LINES}, m AS (SELECT file, line_no, lead(line_no) OVER (PARTITION BY file ORDER BY line_no) AS nxt FROM l WHERE contains(text, 'purchase')), z AS (SELECT file, max(line_no) AS last FROM l GROUP BY file)
+SELECT m.file, m.line_no FROM m JOIN z ON m.file = z.file WHERE coalesce(nxt, 1073741824) > line_no + 6 AND last >= line_no + 6""")
 def msg_context_lead(spark, d):
-    ls = doc_lines(spark, d).withColumn("last", F.max("line_no").over(W.partitionBy("doc_id"))).where(T.contains_any("text", ["License", "licen"]))
-    ls = ls.withColumn("next", F.lead("line_no").over(W.partitionBy("doc_id").orderBy("line_no")))
-    return ls.where((F.coalesce("next", F.lit(1 << 30)) > F.col("line_no") + 6) & (F.col("last") >= F.col("line_no") + 6)).select("doc_id", "line_no")
+    return L.settled(event_lines(spark, d), "file", F.col("text").contains("purchase")).select("file", "line_no")
 
 
 @query(f"""WITH {LINES} SELECT a.doc_id, a.line_no, md5(string_agg(b.text, chr(10) ORDER BY b.line_no)) AS body FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no AND a.line_no + 9
 WHERE contains(a.text, '@') GROUP BY a.doc_id, a.line_no""")
 def emit_frame_concat(spark, d):
-    return doc_lines(spark, d).withColumn("body", F.md5(L.context("doc_id", 0, 9))).where(F.col("text").contains("@")).select("doc_id", "line_no", "body")
+    return L.around(t(spark, d, "documents"), "doc_id", "text", lambda x: x.contains("@"), 0, 9, "body", mark=False).select("doc_id", "line_no", F.md5("body").alias("body"))
 
 
-@query(f"""WITH {LINES}, f AS (SELECT doc_id, line_no, text, bool_or(contains(text, 'icense')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS checked FROM l)
-SELECT doc_id, line_no FROM f WHERE contains(text, '|') AND NOT checked""")
+@query(f"""WITH {EVENT_LINES}, f AS (SELECT file, line_no, text, bool_or(contains(text, ' 7')) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS checked FROM l)
+SELECT file, line_no FROM f WHERE contains(text, 'click') AND NOT checked""")
 def check_comment_frame(spark, d):
-    ls = doc_lines(spark, d).withColumn("checked", F.max(F.col("text").contains("icense")).over(L.frame("doc_id", 9, 0)))
-    return ls.where(F.col("text").contains("|") & ~F.col("checked")).select("doc_id", "line_no")
+    ls = event_lines(spark, d).withColumn("checked", L.seen_within(F.col("text").contains(" 7"), "file", 9))
+    return ls.where(F.col("text").contains("click") & ~F.col("checked")).select("file", "line_no")
 
 
-@query(f"""WITH {LINES}, f AS (SELECT doc_id, bool_or(contains(text, '#[cfg(test)]') OR contains(text, 'License')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS flagged FROM l)
-SELECT doc_id, count(*) FILTER (WHERE flagged) AS n FROM f GROUP BY doc_id""")
+@query(f"""WITH {EVENT_LINES}, w AS (SELECT file, line_no, text, bool_or(contains(text, 'purchase')) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS waits FROM l),
+f AS (SELECT file, bool_or(waits AND contains(text, 'click 3')) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS flagged FROM w)
+SELECT file, count(*) FILTER (WHERE flagged) AS n FROM f GROUP BY file""")
 def running_test_flag(spark, d):
-    seen = L.lines(t(spark, d, "documents").withColumn("text", F.replace("text", F.lit("License"), F.lit("#[cfg(test)]"))), "doc_id", "text").withColumn("flagged", L.in_test_module("doc_id"))
-    return seen.groupBy("doc_id").agg(F.count_if("flagged").alias("n"))
+    x = F.col("text")
+    code = F.when(x.contains("purchase"), "  #[cfg(test)]").when(x.contains("click 3"), "mod tests {").otherwise(x)
+    ls = L.in_test_module(event_lines(spark, d).withColumn("text", code), "file", "flagged")
+    return ls.groupBy("file").agg(F.count_if("flagged").alias("n"))
 
 
 # ---------------------------------------------------------------- ledger
@@ -279,17 +295,17 @@ def sql_grade(of: str) -> str:
 @query(f"WITH {CLUSTER}, {sql_grade('cf')} SELECT (SELECT count(*) FROM events) AS transactions, (SELECT n FROM c) AS wallets, score, grade FROM g")
 def ledger_report(spark, d):
     """The flagship: clustered wallets of a ledger, scored and graded; always one row."""
-    pairs = G.cluster_pairs(activity(spark, d))
-    found = G.cluster_finding(pairs, "program")
-    n = pairs.select(F.explode(F.array("wallet_a", "wallet_b")).alias("w")).agg(F.countDistinct("w").alias("wallets"))
-    return t(spark, d, "events").agg(F.count("*").alias("transactions")).crossJoin(n).crossJoin(R.grade(found))  # one row each
+    n = V.cluster_evidence(activity(spark, d)).select(F.col("evidence").alias("wallets"))
+    severity, confidence = G.cluster_weight(F.col("wallets"))
+    total = F.when(F.col("wallets") > 0, T.severity_weight(severity) * confidence / 100.0).otherwise(0.0)
+    return t(spark, d, "events").agg(F.count("*").alias("transactions")).crossJoin(n).select("transactions", "wallets", *R.grade_of(total))  # one row each
 
 
-@query(f"WITH {TRANSFERS} SELECT tx, count(*) FILTER (WHERE amount > 10000) AS large FROM tr GROUP BY tx HAVING count(*) FILTER (WHERE amount > 10000) > 1")
+@query(f"""WITH {TRANSFERS}, n AS (SELECT tx, count(*) FILTER (WHERE amount > 10000) AS large FROM tr GROUP BY tx HAVING count(*) FILTER (WHERE amount > 10000) > 1)
+SELECT 'PRIV-021' AS id, 'LOW' AS severity, 'tx:' || CAST(tx AS VARCHAR) AS file, CAST(large AS VARCHAR) || ' large transfers' AS code_snippet, 55 AS confidence FROM n""")
 def large_transfer_multi(spark, d):
-    g = transfers(spark, d).groupBy("tx").agg(F.collect_list(F.struct(F.col("amount").cast("string").alias("amount"))).alias("tokenTransfers"))
-    n = F.size(F.filter("tokenTransfers", lambda x: x["amount"].try_cast("double") > 10000)).cast("long")
-    return g.select("tx", n.alias("large")).where("large > 1")
+    g = transfers(spark, d).groupBy(F.col("tx").cast("string").alias("signature")).agg(F.collect_list(F.struct(F.col("amount").cast("string").alias("amount"))).alias("tokenTransfers"))
+    return G.large_transfer_findings(g).select("id", "severity", "file", "code_snippet", "confidence")
 
 
 @query(f"""WITH {TRANSFERS} SELECT a.src AS a_out, b.dst AS a_in, count(*) AS n FROM tr a JOIN tr b ON a.mint = b.mint AND a.amount > 0 AND b.amount > 0 AND abs(a.amount - b.amount) / a.amount < 0.05
@@ -301,7 +317,7 @@ def balance_corr_pairs(spark, d):
 def basic(spark, d):
     """Events as basic transactions: logs of event types and properties, calls by type."""
     e = t(spark, d, "events")
-    logs = F.array(F.concat(F.lit("Program log: "), "event_type", F.lit(" "), "props"), F.when(F.col("value") > 90, F.lit("debug: predictable seed")).otherwise("able about"))
+    logs = F.array(F.concat(F.lit("Program log: "), "event_type", F.lit(" "), "props"), F.when(F.col("value") > 90, F.lit("debug: predictable seed")).when(F.col("value") < 5, F.lit("warning: ann@mail.example not initialized")).otherwise("able about"))
     return e.select(F.col("event_id").cast("string").alias("signature"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("blockTime"), F.array(F.struct(F.col("event_type").alias("programId"))).alias("instructions"), logs.alias("logs"))
 
 
@@ -324,20 +340,23 @@ def pda_timeline_rate(spark, d):
 SEEDY = f"({sql_count('lower(text)', vocab.SEED_WORDS)} >= 2 OR {sql_any('lower(text)', vocab.SEED_PHRASES)})"
 
 
-@query(f"SELECT conv_id, turn FROM conversations WHERE {SEEDY}")
+@query(f"WITH e AS (SELECT event_id, upper({sql_pick(vocab.SEED_WORDS + ['x', 'y'])}) || ' ' || event_type || ' ' || {sql_pick(vocab.SEED_PHRASES + ['z'] * 7)} AS text FROM events) SELECT event_id FROM e WHERE {SEEDY}")
 def seed_phrase_tx(spark, d):
-    return t(spark, d, "conversations").where(V.seed_phrase_log(F.col("text"))).select("conv_id", "turn")
+    text = F.concat(F.upper(pick(vocab.SEED_WORDS + ["x", "y"])), F.lit(" "), "event_type", F.lit(" "), pick(vocab.SEED_PHRASES + ["z"] * 7))
+    return t(spark, d, "events").where(V.seed_phrase_log(text)).select("event_id")
 
 
-EVIDENCE = """v AS (SELECT count(*) FILTER (WHERE value > 90) AS debug, count(*) FILTER (WHERE event_type <> 'click') AS calls, count(*) AS n FROM events)"""
+EVIDENCE = """v AS (SELECT count(*) FILTER (WHERE value > 90) AS debug, count(*) FILTER (WHERE value < 5) AS mail, count(*) FILTER (WHERE event_type <> 'click') AS calls, count(*) FILTER (WHERE value BETWEEN 5 AND 90) AS n FROM events)"""
 
 
 @query(f"""WITH {EVIDENCE} SELECT 'PRIV-007' AS id, debug AS evidence, CASE WHEN debug > 0 THEN 10 ELSE -10 END AS adjustment FROM v
 UNION ALL SELECT 'PRIV-009', calls, CASE WHEN calls = 0 THEN -20 WHEN calls <= 50 THEN -10 WHEN calls <= 500 THEN 0 ELSE 10 END FROM v
 UNION ALL SELECT 'PRIV-010', debug, CASE WHEN debug = 1 THEN 20 WHEN debug <= 5 THEN 30 ELSE 40 END FROM v
-UNION ALL SELECT 'PRIV-002', n, 45 FROM (SELECT count(*) FILTER (WHERE value <= 90) AS n FROM events)""")
+UNION ALL SELECT 'PRIV-006', mail, CASE WHEN mail = 0 THEN -20 WHEN mail <= 10 THEN 15 WHEN mail <= 100 THEN 25 ELSE 35 END FROM v
+UNION ALL SELECT 'PRIV-008', mail, CASE WHEN mail = 0 THEN -15 WHEN mail <= 3 THEN 10 WHEN mail <= 10 THEN 20 ELSE 30 END FROM v
+UNION ALL SELECT 'PRIV-002', n, CASE WHEN n = 0 THEN -15 WHEN n = 1 THEN 25 WHEN n <= 5 THEN 35 ELSE 45 END FROM v""")
 def transaction_evidence(spark, d):
-    return V.transaction_evidence(basic(spark, d), "click").where("id in ('PRIV-007', 'PRIV-009', 'PRIV-010', 'PRIV-002')")
+    return V.transaction_evidence(basic(spark, d), "click")
 
 
 @query(f"WITH {PAIRS}, c AS (SELECT count(DISTINCT w) AS n FROM (SELECT wallet_a AS w FROM pr UNION ALL SELECT wallet_b FROM pr)) SELECT 'PRIV-020' AS id, n AS evidence, CAST(CASE WHEN n = 0 THEN -10 WHEN n <= 2 THEN 10 WHEN n <= 5 THEN 20 WHEN n <= 10 THEN 30 ELSE 40 END AS INTEGER) AS adjustment FROM c")
@@ -345,11 +364,14 @@ def adjust_bucket(spark, d):
     return V.cluster_evidence(activity(spark, d))
 
 
-@query("WITH a AS (SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 1000) AS bad FROM customer GROUP BY 1) SELECT c_nationkey, n, bad, CAST(CASE WHEN bad = 0 THEN -20 WHEN bad * 100.0 / n > 50 THEN 30 WHEN bad * 100.0 / n > 20 THEN 20 WHEN bad * 100.0 / n > 5 THEN 10 ELSE 5 END AS INTEGER) AS adjustment FROM a")
+@query("""WITH a AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 1000) AS bad, count(*) FILTER (WHERE c_custkey % 10 = 0) AS pii FROM customer)
+SELECT 'PRIV-004' AS id, pii AS evidence, CASE WHEN pii > 0 THEN 25 ELSE -15 END AS adjustment FROM a UNION ALL SELECT 'PRIV-005', pii, CASE WHEN pii > 0 THEN 25 ELSE -15 END FROM a
+UNION ALL SELECT 'PRIV-008', bad, CASE WHEN bad = 0 THEN -20 WHEN bad * 100.0 / n > 50 THEN 30 WHEN bad * 100.0 / n > 20 THEN 20 WHEN bad * 100.0 / n > 5 THEN 10 ELSE 5 END FROM a
+UNION ALL SELECT 'PRIV-010', n, CASE WHEN n <= 10 THEN -15 WHEN n <= 100 THEN 10 WHEN n <= 1000 THEN 25 ELSE 35 END FROM a""")
 def account_ratio(spark, d):
-    a = t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 1000).alias("bad"))
-    pct = F.col("bad") * 100.0 / F.col("n")
-    return a.withColumn("adjustment", F.when(F.col("bad") == 0, -20).when(pct > 50, 30).when(pct > 20, 20).when(pct > 5, 10).otherwise(5))
+    text = F.when(F.col("c_custkey") % 10 == 0, F.lit("ann@mail.com of the north")).otherwise(F.lit("nothing of that kind here"))
+    a = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("pubkey"), F.lit("encoded").alias("data_kind"), F.base64(F.encode(text, "utf-8")).alias("data"), F.when(F.col("c_acctbal") < 1000, 4).otherwise(100).cast("long").alias("size"))
+    return V.account_evidence(a)
 
 
 @query("""WITH r AS (SELECT user_id, event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) SELECT r.user_id, r.event_id, c.c_name FROM r JOIN customer c ON c.c_custkey = r.user_id WHERE k <= 5""")
@@ -360,8 +382,7 @@ def topk_sig_join(spark, d):
 
 @query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup')")
 def vocab_semi(spark, d):
-    words = spark.createDataFrame([("purchase",), ("signup",)], "event_type string")
-    return t(spark, d, "events").join(F.broadcast(words), "event_type", "left_semi").select("event_id")
+    return J.in_vocabulary(t(spark, d, "events"), "event_type", ["purchase", "signup"]).select("event_id")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'Vote111111111111111111111111111111111111111' ELSE 'mine' END AS program FROM events WHERE user_id % 7 <> 0")
@@ -372,24 +393,61 @@ def system_anti(spark, d):
 
 @query("SELECT DISTINCT l_partkey AS mint, p_name AS name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def mint_distinct_lookup(spark, d):
-    mints = t(spark, d, "lineitem").select(F.col("l_partkey").alias("mint")).distinct()
-    return mints.join(t(spark, d, "part"), F.col("mint") == F.col("p_partkey"), "left").select("mint", F.col("p_name").alias("name"))
+    return G.mint_metadata(t(spark, d, "lineitem"), t(spark, d, "part"), "l_partkey", "p_partkey").select(F.col("l_partkey").alias("mint"), F.col("p_name").alias("name"))
 
 
-@query("SELECT event_id, CASE WHEN regexp_extract(props, '\"k\"[ ]*:[ ]*([0-9]+)', 1) <> '' THEN CAST(regexp_extract(props, '\"k\"[ ]*:[ ]*([0-9]+)', 1) AS BIGINT) END AS k FROM events")
+@query("SELECT event_id, CASE WHEN user_id % 3 > 0 THEN event_type END AS name FROM events")
 def json_field(spark, d):
-    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    text = F.concat(F.lit('{"id": "x", "'), F.when(F.col("user_id") % 3 > 0, "name").otherwise("title"), F.lit('" : "'), "event_type", F.lit('"}'))
+    return t(spark, d, "events").select("event_id", T.field_value(text, "name").alias("name"))
 
 
 # ---------------------------------------------------------------- fields
 
 
+FIELD_NAMES = list(dict.fromkeys([*vocab.SAFE_FIELD_NAMES, *vocab.PII_PATTERNS, *vocab.SECRET_PATTERNS, *["home_address", "name", "user_name", "market_name", "email_hash", "client_address", "wallet_address", "auth_token", "pool_id", "memo_text", "my_phone"]]))
+FIELD_TYPES, FIELD_STRUCTS = ["String", "Pubkey", "u64", "Vec<u8>"], ["UserProfile", "PoolConfig"]
+
+
 def field_table(spark):
-    names = [*vocab.SAFE_FIELD_NAMES[:30], *vocab.PII_PATTERNS, *vocab.SECRET_PATTERNS, "home_address", "name", "user_name", "market_name", "email_hash", "client_address", "wallet_address", "auth_token"]
-    return spark.createDataFrame([(n, ty, s) for n in names for ty in ("String", "Pubkey", "u64", "Vec<u8>") for s in ("UserProfile", "PoolConfig")], "field string, type string, struct string")
+    return spark.createDataFrame([(n, ty, s) for n in FIELD_NAMES for ty in FIELD_TYPES for s in FIELD_STRUCTS], "field string, type string, struct string")
+
+
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def sql_kept(p: str) -> str:
+    """Whether a match of the pattern means something, of a field that is not safe."""
+    pub, ids = "contains(type, 'Pubkey')", "(contains(type, 'Pubkey') OR contains(type, 'u64') OR contains(type, 'u32'))"
+    ledger = sql_any("low", ["market", "pool", "token", "program"])
+    return {
+        "token": "type = 'String' AND low = 'token'", "key": sql_any("low", ["private", "secret", "api"]), "seed": sql_any("low", ["phrase", "mnemonic"]), "auth": f"NOT ({pub} OR contains(low, 'authority'))",
+        "address": f"NOT {pub}", "name": f"NOT ({pub} OR {ledger})", "id": f"NOT {ids}", "user": f"NOT {ids}", "identifier": f"NOT {ids}",
+    }.get(p, "false" if p in ("fee", "amount", "balance", "price", "total") else "true")
+
 
+def sql_kinds(words: list[str], ty: str = "type") -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN contains(low, '{p}') AND ({sql_kept(p).replace('type', ty)}) THEN '{p}' END" for p in words) + ", NULL)"
 
-@query()
+
+def sql_safe(ty: str, struct: str | None) -> str:
+    alt = "|".join(vocab.SAFE_TYPES)
+    context = f"({sql_any(f'lower({struct})', vocab.SAFE_STRUCT_CONTEXTS)})" if struct else "false"
+    return f"""((contains({ty}, 'Pubkey') AND NOT {sql_any('low', vocab.PERSONAL_PREFIXES)}) OR list_contains({sql_list(vocab.SAFE_FIELD_NAMES)}, low) OR {sql_any('low', vocab.SAFE_FIELD_PATTERNS)}
+ OR ((regexp_matches({ty}, '^({alt})|<({alt})')) AND NOT contains({ty}, 'String')) OR (low IN ('name', 'title', 'label') AND {context}) OR regexp_matches(low, '({"|".join(vocab.SAFE_SUFFIXES)})$'))"""
+
+
+PERSON = sql_any("lower(struct)", ["user", "profile", "member", "person", "customer", "identity"])
+
+
+@query(f"""WITH f AS (SELECT field, type, struct, lower(field) AS low FROM (SELECT unnest({sql_list(FIELD_NAMES)}) AS field) CROSS JOIN (SELECT unnest({sql_list(FIELD_TYPES)}) AS type) CROSS JOIN (SELECT unnest({sql_list(FIELD_STRUCTS)}) AS struct)),
+s AS (SELECT *, {sql_safe('type', 'struct')} AS safe, {sql_safe('type', None)} AS safe_alone, {sql_safe("'unknown'", None)} AS safe_untyped FROM f)
+SELECT field, type, struct, safe, CASE WHEN safe THEN NULL
+ WHEN low IN ('name', 'username', 'user_name') THEN CASE WHEN {PERSON} OR (contains(type, 'String') AND NOT {sql_any('low', ['market', 'pool', 'token', 'program'])}) THEN 'name' END
+ WHEN contains(low, 'address') THEN CASE WHEN NOT contains(type, 'Pubkey') AND NOT {sql_any('low', ['wallet', 'token', 'program', 'mint'])} AND contains(type, 'String') THEN 'address' END
+ WHEN safe_alone THEN NULL ELSE {sql_kinds(vocab.PII_PATTERNS)} END AS pii,
+ CASE WHEN contains(low, 'hash') OR contains(low, 'encrypted') OR safe_untyped THEN NULL ELSE {sql_kinds(vocab.SECRET_PATTERNS, "'unknown'")} END AS secret FROM s""")
 def field_rules(spark, d):
     f = field_table(spark)
     return f.select("field", "type", "struct", K.is_safe_field("field", "type", "struct").alias("safe"), K.pii_kind("field", "type", "struct").alias("pii"), K.secret_kind("field").alias("secret"))
@@ -399,14 +457,13 @@ def field_rules(spark, d):
 
 
 def findings(spark, d):
-    ls = doc_lines(spark, d)
+    ls = doc_lines(spark, d).withColumn("e", T.email("text"))
     at = (F.col("doc_id").cast("string"), F.col("line_no"), F.col("text"))
-    mail = ls.withColumn("e", T.email("text")).where("e is not null")
-    return R.union([
-        R.finding(mail, "PRIV-006", "E-mail", "CRITICAL", *at, "Remove it.", F.when(T.is_placeholder_email("e"), 75).otherwise(95), F.array("e")),
-        R.finding(ls.where(T.phone("text").isNotNull()), "PRIV-006", "Phone", "HIGH", *at, "Remove it.", 90),
-        R.finding(ls.where(F.col("text").rlike("token = \"[0-9a-f]{40}\"")), "PRIV-001", "Token", "CRITICAL", *at, "Remove it.", 80),
-        R.finding(ls.where(F.col("text").rlike(vocab.IPV4)), "PRIV-007", "Address", "LOW", *at, "Remove it.", 60),
+    return R.found(ls, [
+        R.rule(F.col("e").isNotNull(), "PRIV-006", "E-mail", "CRITICAL", *at, "Remove it.", F.when(T.is_placeholder_email("e"), 75).otherwise(95), F.array("e")),
+        R.rule(T.phone("text").isNotNull(), "PRIV-006", "Phone", "HIGH", *at, "Remove it.", 90),
+        R.rule(F.col("text").rlike("token = \"[0-9a-f]{40}\""), "PRIV-001", "Token", "CRITICAL", *at, "Remove it.", 80),
+        R.rule(F.col("text").rlike(vocab.IPV4), "PRIV-007", "Address", "LOW", *at, "Remove it.", 60),
     ])
 
 
@@ -439,9 +496,19 @@ def confidence_buckets(spark, d):
     return R.confidence_buckets(findings(spark, d))
 
 
-@query(f"WITH {FOUND}, few AS (SELECT * FROM f WHERE id = 'PRIV-007'), {sql_grade('few')} SELECT score, grade, score >= 50 AS passed FROM g")
+@query(f"WITH {FOUND}, {sql_grade('f')} SELECT score, grade, score >= 50 AS passed FROM g")
 def grade_score(spark, d):
-    return R.passes_gate(findings(spark, d).where("id = 'PRIV-007'"), 50)
+    return R.passes_gate(findings(spark, d), 50)
+
+
+GRADED = "SELECT s_suppkey AS file, CASE CAST(s_suppkey % 4 AS INTEGER) WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'LOW' WHEN 2 THEN 'INFO' ELSE 'MEDIUM' END AS severity, 10 + s_suppkey % 80 AS confidence FROM supplier WHERE s_suppkey <= 9"
+
+
+@query(f"WITH f AS ({GRADED}), {sql_grade('f')} SELECT score, grade, score >= 50 AS passed FROM g")
+def grade_of_few(spark, d):
+    k = F.col("s_suppkey")
+    s = F.when(k % 4 == 0, "CRITICAL").when(k % 4 == 1, "LOW").when(k % 4 == 2, "INFO").otherwise("MEDIUM")
+    return R.passes_gate(t(spark, d, "supplier").where(k <= 9).select(s.alias("severity"), (10 + k % 80).cast("int").alias("confidence")), 50)
 
 
 @query(f"WITH {FOUND} SELECT id, title, file, line FROM f WHERE severity IN ('HIGH', 'CRITICAL') AND confidence >= 80")
@@ -468,21 +535,21 @@ def suppress_count(spark, d):
     return f.agg(F.count("*").alias("n")).crossJoin(J.unsuppressed(f, marks(spark, d)).agg(F.count("*").alias("k"))).select((F.col("n") - F.col("k")).alias("suppressed"))  # one row each
 
 
-@query(f"""WITH {LINES}, k AS (SELECT doc_id, line_no + 1 AS line_no, text FROM l WHERE contains(text, 'icense')) SELECT k.doc_id AS file, CAST(k.line_no AS INTEGER) AS line FROM k JOIN l ON l.doc_id = k.doc_id AND l.line_no = k.line_no""")
+@query(f"""WITH {EVENT_LINES} SELECT file, CASE WHEN contains(text, 'purchase') THEN line_no + 1 ELSE line_no END AS line, CASE WHEN contains(text, 'click 3') THEN 'PRIV-006' END AS rule FROM l WHERE contains(text, 'purchase') OR contains(text, 'click 3')""")
 def suppress_line_rule(spark, d):
-    ls = doc_lines(spark, d).withColumnRenamed("doc_id", "file")
-    m = J.suppression_marks(ls.withColumn("text", F.when(F.col("text").contains("icense"), "// privacy-ignore-next-line").otherwise("")))
-    return m.join(ls, (m["file"] == ls["file"]) & (m["line"] == ls["line_no"])).select(m["file"], m["line"])
+    x = F.col("text")
+    code = F.when(x.contains("purchase"), "// privacy-ignore-next-line").when(x.contains("click 3"), "f(x); // privacy-ignore [priv-006]").otherwise("")
+    return J.suppression_marks(event_lines(spark, d).withColumn("text", code)).where("scope = 'line'").select("file", "line", "rule")
 
 
-EV = "e AS (SELECT * FROM (VALUES ('PRIV-006', 12, 25), ('PRIV-001', 0, -10)) AS x(id, evidence, adjustment))"
+EV = "e AS (SELECT id, sum(evidence) AS evidence, sum(adjustment) AS adjustment FROM (VALUES ('PRIV-006', 12, 25), ('PRIV-001', 0, -10), ('PRIV-006', 3, -5)) AS x(id, evidence, adjustment) GROUP BY id)"
 
 
 @query(f"""WITH {FOUND}, {EV} SELECT f.id, file, line, CAST(confidence AS INTEGER) AS static_confidence, CAST(greatest(5, least(100, confidence + coalesce(adjustment, 0))) AS INTEGER) AS verified_confidence,
 coalesce('evidence: ' || CAST(e.evidence AS VARCHAR), 'no ledger check for this rule') AS note FROM f LEFT JOIN e ON f.id = e.id""")
 def verify_left_join(spark, d):
-    e = spark.createDataFrame([("PRIV-006", 12, 25), ("PRIV-001", 0, -10)], "id string, evidence long, adjustment int")
-    return V.verify(findings(spark, d), e).withColumn("note", F.col("notes")[0]).drop("notes")
+    e = spark.createDataFrame([("PRIV-006", 12, 25), ("PRIV-001", 0, -10), ("PRIV-006", 3, -5)], "id string, evidence long, adjustment int")
+    return V.verify(findings(spark, d), e).select("id", "file", "line", "static_confidence", "verified_confidence", F.col("notes")[0].alias("note"))
 
 
 @query(f"""WITH {LINES}, m AS (SELECT doc_id, line_no, text FROM l WHERE contains(text, '.')) SELECT a.doc_id, a.line_no, (SELECT md5(arg_max(m.text, m.line_no)) FROM m WHERE m.doc_id = a.doc_id AND m.line_no <= a.line_no) AS mark FROM l a WHERE contains(a.text, '@')""")
@@ -497,12 +564,19 @@ def confidence_labels(spark, d):
     return findings(spark, d).select("id", "title", "file", "line", T.confidence_label("confidence").alias("label"))
 
 
-@query()
+LABEL = "CASE WHEN confidence >= 90 THEN 'Very High' WHEN confidence >= 70 THEN 'High' WHEN confidence >= 50 THEN 'Medium' WHEN confidence >= 25 THEN 'Low' ELSE 'Very Low' END"
+COUNTED = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")) + ", count(DISTINCT file) AS files"
+
+
+@query(f"""WITH {FOUND}, {sql_grade('f')}, c AS (SELECT {COUNTED} FROM f)
+SELECT 'head' AS part, CAST(to_json({{'score': score, 'grade': grade, 'summary': {{'critical': critical, 'high': high, 'medium': medium, 'low': low, 'info': info, 'files': files}}}}) AS VARCHAR) AS report FROM g, c
+UNION ALL SELECT 'finding', CAST(to_json({{'id': id, 'title': title, 'severity': severity, 'file': file, 'line': line, 'recommendation': 'Remove it.', 'confidence': confidence, 'evidence': evidence, 'confidence_label': {LABEL}}}) AS VARCHAR) FROM f""")
 def json_report(spark, d):
-    return R.json_report(findings(spark, d))
+    return R.json_report(findings(spark, d).drop("code_snippet"))
 
 
-@query()
+@query(f"""WITH {FOUND}, {sql_grade('f')} SELECT 0 AS place, 100 AS confidence, 'Privacy score ' || CAST(score AS VARCHAR) || ' (' || grade || ')' AS text FROM g
+UNION ALL SELECT CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 4 ELSE 5 END, confidence, '[' || severity || '] ' || id || ' ' || title || ' (' || file || ':' || CAST(line AS VARCHAR) || ') ' || {LABEL} || ' ' || CAST(confidence AS VARCHAR) || '%' FROM f""")
 def text_report(spark, d):
     return R.text_report(findings(spark, d))
 
@@ -510,43 +584,184 @@ def text_report(spark, d):
 # ---------------------------------------------------------------- sources
 
 
-@query()
-def struct_parse(spark, d):
-    from veilscan.sources.rust import struct_fields
-    from veilscan.sources.samples import sample_files
-
-    return struct_fields(sample_files(spark))
-
-
-@query()
+@query(cases.values("file, line, source_kind, sink, carrier, confidence", cases.SAMPLE_FLOWS))
 def taint_flow(spark, d):
     from veilscan.operators.taint import summaries, taint_flows
     from veilscan.sources.samples import sample_files
 
     files = sample_files(spark)
-    return taint_flows(files, summaries(files))
+    return taint_flows(files, summaries(files)).select("file", "line", "source_kind", "sink", "carrier", "confidence")
 
 
-@query()
+@query(cases.values("id, file, line, confidence", cases.SAMPLE_FINDINGS))
 def static_scan(spark, d):
     from veilscan.operators.static import scan
     from veilscan.sources.samples import sample_files
 
-    return scan(sample_files(spark))
+    return scan(sample_files(spark)).select("id", "file", "line", "confidence")
+
+
+@query("""SELECT id, CAST(n AS BIGINT) AS n FROM (VALUES ('PRIV-001', 1), ('PRIV-002', 2), ('PRIV-004', 2), ('PRIV-005', 1), ('PRIV-007', 1), ('PRIV-009', 1), ('PRIV-010', 1), ('PRIV-020', 1)) AS t(id, n)""")
+def ledger_scan(spark, d):
+    from veilscan.plans.scan import scan_ledger
+    from veilscan.sources.ledger import assets, rich_transactions, token_metadata
+    from veilscan.sources.samples import asset_json, ledger_json, metadata_json
+
+    return scan_ledger(rich_transactions(ledger_json(spark)), assets(asset_json(spark)), token_metadata(metadata_json(spark)), "Prog1").groupBy("id").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- known results
+
+
+def _files(spark, rows):
+    return spark.createDataFrame([r[:2] for r in rows], "file string, content string")
+
+
+@query(cases.values("file, ids", [(r[0], r[2]) for r in cases.STATIC]))
+def static_rules(spark, d):
+    from veilscan.operators.static import scan
+
+    files = _files(spark, cases.STATIC)
+    ids = scan(files, ["secrets", "pii", "logs", "access", "anchor"]).groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+    return files.select("file").join(ids, "file", "left").select("file", F.coalesce("ids", F.lit("")).alias("ids"))
+
+
+@query(cases.values("file, flows", [(r[0], r[2]) for r in cases.FLOWS]))
+def taint_rules(spark, d):
+    from veilscan.operators.taint import summaries, taint_flows
+
+    files = _files(spark, cases.FLOWS)
+    one = F.concat_ws(":", F.col("line").cast("string"), "sink", "source_kind", "carrier", F.col("confidence").cast("string"))
+    got = taint_flows(files, summaries(files)).where("sink <> 'return'").groupBy("file").agg(F.array_join(F.array_sort(F.collect_set(one)), ",").alias("flows"))
+    return files.select("file").join(got, "file", "left").select("file", F.coalesce("flows", F.lit("")).alias("flows"))
+
+
+@query(cases.values("code_snippet, adjustment, note", cases.TARGETS))
+def target_rules(spark, d):
+    f = spark.createDataFrame([(s,) for s, _, _ in cases.TARGETS], "code_snippet string")
+    return V.program_risk(f, spark.createDataFrame(cases.PROGRAMS, "program string, owner string, exists boolean")).select("code_snippet", "adjustment", "note")
+
+
+@query(cases.values("program, static_confidence, verified_confidence", [(g[0], g[4], g[5]) for g in cases.GENERIC]))
+def generic_verification(spark, d):
+    p = spark.createDataFrame(cases.GENERIC, "program string, owner string, exists boolean, enumerable int, static_confidence int, want int")
+    return V.program_evidence(p).select("program", "static_confidence", T.adjusted("static_confidence", F.col("adjustment")).alias("verified_confidence"))
+
+
+def _case_findings(spark):
+    return spark.createDataFrame([(i, "t", "HIGH", "f", n, "", "", c, []) for n, (i, c, _) in enumerate(cases.VERIFIED)], R.FINDING)
+
+
+@query(cases.values("id, static_confidence, verified_confidence", cases.VERIFIED))
+def verify_fixtures(spark, d):
+    from veilscan.sources.ledger import BASIC_TX
+
+    tx = spark.createDataFrame([("s", 100, [("T", None, None, [])], cases.LOGS)], BASIC_TX)
+    return V.verify(_case_findings(spark), V.transaction_evidence(tx, "P")).select("id", "static_confidence", "verified_confidence")
+
+
+@query(cases.values("id, confidence", [(i, c) for i, _, c in cases.VERIFIED]))
+def verify_and_merge(spark, d):
+    from veilscan.plans.scan import verify_findings
+    from veilscan.sources.ledger import BASIC_TX
+
+    tx = spark.createDataFrame([("s", 100, [("T", None, None, [])], cases.LOGS)], BASIC_TX)
+    return verify_findings(_case_findings(spark), V.transaction_evidence(tx, "P")).select("id", "confidence")
+
+
+@query(cases.values("name, text, result", cases.VALUES))
+def value_rules(spark, d):
+    v = spark.createDataFrame([r[:2] for r in cases.VALUES], "name string, text string")
+    x, s = F.col("text"), lambda c: c.cast("string")
+    tx = G.tx_context(v.withColumn("type", F.substring_index(x, "|", 1)).withColumn("description", F.substring_index(x, "|", -1)))
+    n = F.col("name")
+    out = F.when(n == "first_address", T.first_address(x)).when(n == "field_value", T.field_value(x, "name")).when(n == "payload_size", s(T.payload_size(x))).when(n == "has_name", s(T.contains_identifier(x, "name")))
+    out = out.when(n == "account_pii", s(T.has_account_pii(x))).when(n == "safe_value", s(T.is_safe_name_value(x))).when(n == "tx_context", F.col("context"))
+    return tx.select("name", "text", out.alias("result"))
+
+
+@query(cases.values("file, line, delta", cases.DELTAS))
+def context_rules(spark, d):
+    from veilscan.operators.static import context_adjustment
+
+    return context_adjustment(L.lines(_files(spark, cases.CONTEXT_FILES), "file", "content")).select("file", F.col("line_no").alias("line"), "delta")
+
+
+@query(cases.values("id, code_snippet", cases.BARE[2]))
+def bare_ledger_findings(spark, d):
+    accounts, memos, _ = cases.BARE
+    return V.ledger_findings(spark.createDataFrame(accounts, "lamports long, size long"), spark.createDataFrame([(m,) for m in memos], "memo string"), "P").select("id", "code_snippet")
+
+
+@query("""SELECT * FROM (VALUES ('Deposit', 'holder', 'Account<Holder>', 28, true, false, NULL), ('Deposit', 'book', 'Account<Book>', 30, false, false, 'b"ledger"'), ('Deposit', 'authority', 'AccountInfo<>', 31, false, false, NULL),
+('Deposit', 'payer', 'Signer<>', 32, false, true, NULL), ('UserProfile', 'email', 'String', 37, false, false, NULL), ('UserProfile', 'phone_number', 'String', 38, false, false, NULL), ('UserProfile', 'owner', 'Pubkey', 39, false, false, NULL),
+('UserProfile', 'password', 'String', 40, false, false, NULL), ('UserProfile', 'balance', 'u64', 41, false, false, NULL)) AS t(struct, field, type, line, is_mut, is_signer, seeds)""")
+def struct_parse(spark, d):
+    from veilscan.sources.rust import struct_fields
+    from veilscan.sources.samples import sample_files
+
+    return struct_fields(sample_files(spark)).select("struct", "field", "type", "line", "is_mut", "is_signer", "seeds")
+
+
+@query("SELECT * FROM (VALUES ('Deposit', true, false), ('UserProfile', true, false)) AS t(struct, has_authority, unprotected_mut)")
+def struct_predicates(spark, d):
+    from veilscan.operators.static import struct_predicates as predicates
+    from veilscan.sources.rust import struct_fields
+    from veilscan.sources.samples import sample_files
+
+    return predicates(struct_fields(sample_files(spark))).select("struct", "has_authority", "unprotected_mut")
+
 
+ACCOUNT_JSON = '{"lamports": 7, "owner": "o", "data": ["%s", "base64"], "executable": false, "rentEpoch": 1}'
+ENVELOPES = {"bare": "[%s]", "result": '{"result": [%s]}', "transactions": '{"transactions": [%s]}', "result.items": '{"result": {"items": [%s]}}', "items": '{"items": [%s]}'}
 
-@query()
+
+def _raw(spark, text: str):
+    return spark.createDataFrame([("p", text)], "path string, raw string")
+
+
+@query(cases.values("envelope, signature", [(e, s) for e in ENVELOPES for s in ("a", "b")]))
 def json_envelope(spark, d):
     from veilscan.sources.ledger import rich_transactions
-    from veilscan.sources.samples import ledger_json
 
-    return rich_transactions(ledger_json(spark)).select("signature", "blockTime", F.size("rawLogs").alias("logs"))
+    two = '{"signature": "a"}, {"signature": "b"}'
+    return R.union([rich_transactions(_raw(spark, x % two)).select(F.lit(e).alias("envelope"), "signature") for e, x in ENVELOPES.items()])
 
 
-@query()
-def ledger_scan(spark, d):
-    from veilscan.plans.scan import scan_ledger
-    from veilscan.sources.ledger import assets, rich_transactions, token_metadata
-    from veilscan.sources.samples import asset_json, ledger_json, metadata_json
+RPC = [("account", "", 7, 3), ("multiple", "0", 7, 66), ("multiple", "1", -1, -1), ("program", "k1", 7, 3), ("sized", "k2", 7, 66), ("matching", "k1", 7, 3), ("tokens", "k1", 7, 3), ("tokens", "k2", 7, 66)]
+
+
+@query("SELECT call, key, CAST(lamports AS BIGINT) AS lamports, CAST(size AS BIGINT) AS size FROM (" + cases.values("call, key, lamports, size", [*RPC, ("program", "k2", 7, 66)]) + ")")
+def rpc_accounts(spark, d):
+    from veilscan.sources import ledger as S
+
+    a, b = ACCOUNT_JSON % "AQID", ACCOUNT_JSON % ("A" * 88)
+    two = f'[{{"pubkey": "k1", "account": {a}}}, {{"pubkey": "k2", "account": {b}}}]'
+    both = _raw(spark, f'{{"result": {two}}}')
+    told = lambda df, call, key: df.select(F.lit(call).alias("call"), key.cast("string").alias("key"), *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("lamports", "size")])
+    return R.union([
+        told(S.account_info(_raw(spark, f'{{"result": {{"value": {a}}}}}')), "account", F.lit("")), told(S.multiple_accounts(_raw(spark, f'{{"result": {{"value": [{b}, null]}}}}')), "multiple", F.col("position")),
+        told(S.program_accounts(both), "program", F.col("pubkey")), told(S.program_accounts(both, data_size=66), "sized", F.col("pubkey")), told(S.program_accounts(both, memcmp=(1, "0203")), "matching", F.col("pubkey")),
+        told(S.token_accounts(_raw(spark, f'{{"result": {{"value": {two}}}}}')), "tokens", F.col("pubkey")),
+    ])
+
+
+@query("SELECT signature, CAST(slot AS BIGINT) AS slot, memo FROM (VALUES ('a', 3, 'hello'), ('b', 2, NULL)) AS t(signature, slot, memo)")
+def rpc_signatures(spark, d):
+    from veilscan.sources.ledger import signatures
+
+    rows = ", ".join(f'{{"signature": "{s}", "slot": {n}, "err": null, "memo": {m}, "blockTime": 1}}' for s, n, m in (("c", 1, '"x"'), ("a", 3, '"hello"'), ("b", 2, "null")))
+    return signatures(_raw(spark, f'{{"result": [{rows}]}}'), 2).select("signature", "slot", "memo")
+
+
+@query("SELECT * FROM (VALUES ('PRIV-001', -10), ('PRIV-002', 40), ('PRIV-006', 25), ('PRIV-007', 10)) AS t(id, adjustment)")
+def memo_rules(spark, d):
+    s = spark.createDataFrame([("a", 3, "private note"), ("b", 2, "seed phrase: x"), ("c", 1, None)], "signature string, slot long, memo string")
+    logs = spark.createDataFrame([("a", (["ip: 1.2.3.4", "DEBUG: x"],))], "signature string, meta struct<logMessages: array<string>>")
+    return V.memo_evidence(s, logs).select("id", "adjustment")
+
 
-    return scan_ledger(rich_transactions(ledger_json(spark)), assets(asset_json(spark)), token_metadata(metadata_json(spark)), "Prog1")
+@query("SELECT 'PRIV-021' AS id, CAST(1 AS BIGINT) AS evidence, 15 AS adjustment")
+def balance_rules(spark, d):
+    rows = [("x", "A", "B", 100.0), ("x", "A", "B", 101.0), ("y", "A", "B", 500.0), ("x", "C", "D", 900.0)]
+    return V.balance_evidence(spark.createDataFrame(rows, "mint string, source string, target string, amount double"), "mint", "source", "target", "amount")

@@ -39,21 +39,32 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def aggregate_findings(findings: DataFrame, order: str) -> DataFrame:
-    """One row per (id, title): the first finding by ``order``, five points of confidence for each other, evidence merged,
+    """One row per (id, title): the first finding by ``order``, five points of confidence for each other, evidence merged (each once),
     headed by the count and the first five files when there are several."""
+    from pyspark.sql import Window as W
+
+    key = ["id", "title"]
     first = F.min_by(F.struct("severity", "file", "line", "code_snippet", "recommendation", "confidence"), order)
-    g = findings.groupBy("id", "title").agg(first.alias("f"), F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("e"), F.slice(F.array_sort(F.collect_set("file")), 1, 5).alias("files"))
-    head = F.when(F.col("n") > 1, F.array(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" times across: "), F.array_join("files", ", ")))).otherwise(F.array().cast("array<string>"))
-    return g.select("id", "title", "f.severity", "f.file", "f.line", "f.code_snippet", "f.recommendation", F.least(F.lit(100), F.col("f.confidence") + 5 * (F.col("n") - 1)).cast("int").alias("confidence"), F.concat(head, F.col("e")).alias("evidence"))
+    g = findings.groupBy(*key).agg(first.alias("f"), F.count("*").alias("n"))
+    said = findings.select(*key, F.explode("evidence").alias("e")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    five = findings.select(*key, "file").distinct().withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("file"))).where("r <= 5")
+    five = five.groupBy(*key).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    g = g.join(said, key, "left").join(five, key, "left")
+    none = F.array().cast("array<string>")
+    head = F.when(F.col("n") > 1, F.array(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" times across: "), F.array_join("files", ", ")))).otherwise(none)
+    return g.select("id", "title", "f.severity", "f.file", "f.line", "f.code_snippet", "f.recommendation", F.least(F.lit(100), F.col("f.confidence") + 5 * (F.col("n") - 1)).cast("int").alias("confidence"), F.concat(head, F.coalesce("e", none)).alias("evidence"))
 
 
 def grade(findings: DataFrame) -> DataFrame:
     """One row: score = 100 less the rounded weighted confidences, 0 at least, and its grade."""
-    total = F.coalesce(F.sum(severity_weight("severity") * F.col("confidence") / 100.0), F.lit(0.0))
-    score = F.greatest(F.lit(0), F.lit(100) - F.round(total).cast("int"))
-    s = findings.agg(score.cast("int").alias("score"))
-    c = F.col("score")
-    return s.select("score", F.when(c >= 90, "A").when(c >= 75, "B").when(c >= 60, "C").when(c >= 40, "D").otherwise("F").alias("grade"))
+    s = findings.agg(F.coalesce(F.sum(severity_weight("severity") * F.col("confidence") / 100.0), F.lit(0.0)).alias("total"))
+    return s.select(*grade_of(F.col("total")))
+
+
+def grade_of(total: Column) -> list[Column]:
+    """score and grade of a sum of weighted confidences."""
+    c = F.greatest(F.lit(0), F.lit(100) - F.round(total).cast("int")).cast("int")
+    return [c.alias("score"), F.when(c >= 90, "A").when(c >= 75, "B").when(c >= 60, "C").when(c >= 40, "D").otherwise("F").alias("grade")]
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -71,29 +82,28 @@ def at_least(findings: DataFrame, severity: str, confidence: int) -> DataFrame:
 
 
 def merge_verified(findings: DataFrame, verified: DataFrame) -> DataFrame:
-    """Confidence and notes of (id, file, line) verifications put into the findings; others stay."""
-    v = verified.select("id", "file", "line", F.col("verified_confidence").alias("_c"), F.col("notes").alias("_n"))
+    """Confidence and notes of verifications (id, file, line), read from elsewhere, put into the findings; others stay. A key that is
+    verified twice counts with its smallest confidence, so findings never multiply."""
+    v = verified.groupBy("id", "file", "line").agg(F.min(F.struct(F.col("verified_confidence").alias("c"), F.col("notes").alias("n"))).alias("_v"))
     out = findings.join(v, ["id", "file", "line"], "left")
-    return out.withColumn("confidence", F.coalesce("_c", "confidence")).withColumn("evidence", F.concat("evidence", F.coalesce("_n", F.array().cast("array<string>")))).drop("_c", "_n").select(*findings.columns)
+    out = out.withColumn("confidence", F.coalesce("_v.c", "confidence")).withColumn("evidence", F.concat("evidence", F.coalesce("_v.n", F.array().cast("array<string>"))))
+    return out.select(*findings.columns)
 
 
 def json_report(findings: DataFrame) -> DataFrame:
-    """One row, one column: the report as JSON."""
+    """(part, report): a head with score, grade and summary, and a line of JSON a finding."""
+    head = grade(findings).crossJoin(F.broadcast(summary(findings)))  # one row each
+    head = head.select(F.lit("head").alias("part"), F.to_json(F.struct("score", "grade", F.struct("critical", "high", "medium", "low", "info", "files").alias("summary"))).alias("report"))
     rows = findings.withColumn("confidence_label", confidence_label("confidence"))
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns]))).alias("findings"))
-    out = rows.crossJoin(F.broadcast(grade(findings))).crossJoin(F.broadcast(summary(findings)))  # one row each
-    return out.select(F.to_json(F.struct("score", "grade", F.struct("critical", "high", "medium", "low", "info", "files").alias("summary"), "findings")).alias("report"))
+    return head.unionByName(rows.select(F.lit("finding").alias("part"), F.to_json(F.struct(*rows.columns)).alias("report")))
 
 
 def text_report(findings: DataFrame) -> DataFrame:
-    """(place, text): the report's lines in order, worst first; the grade is line 0."""
-    from pyspark.sql import Window as W
-
-    head = grade(findings).select(F.lit(0).cast("long").alias("place"), F.format_string("Privacy score %d (%s)", "score", "grade").alias("text"))
-    # ranks of a report that people read; its size is bounded by what a scan finds
-    rank = F.row_number().over(W.orderBy(F.desc(severity_rank("severity")), F.desc("confidence"), "id", "file", "line", "title"))
-    body = findings.select(rank.cast("long").alias("place"), F.format_string("[%s] %s %s (%s:%d) %s %d%%", "severity", "id", "title", "file", "line", confidence_label("confidence"), "confidence").alias("text"))
-    return head.unionByName(body)
+    """(place, confidence, text): the report's lines, to be ordered by place, falling confidence and text; the grade is place 0, then
+    the severities from the worst on."""
+    head = grade(findings).select(F.lit(0).alias("place"), F.lit(100).alias("confidence"), F.format_string("Privacy score %d (%s)", "score", "grade").alias("text"))
+    body = F.format_string("[%s] %s %s (%s:%d) %s %d%%", "severity", "id", "title", "file", "line", confidence_label("confidence"), "confidence")
+    return head.unionByName(findings.select((5 - severity_rank("severity")).alias("place"), "confidence", body.alias("text"))).orderBy("place", F.desc("confidence"), "text")
 
 
 def passes_gate(findings: DataFrame, threshold: int) -> DataFrame:

@@ -60,7 +60,7 @@ def pii_findings(files: DataFrame, structs: DataFrame | None = None) -> DataFram
 def log_findings(files: DataFrame) -> DataFrame:
     ls = L.lines(scanned(files, "example"), "file", "content")
     tested = L.test_functions(ls, "file")
-    ls = ls.withColumn("module", L.in_test_module("file")).join(tested, ["file", "line_no"])
+    ls = L.in_test_module(ls, "file", "module").join(tested, ["file", "line_no"])
     ls = ls.where("not module and not in_test").where(~F.ltrim("text").startswith("//") & ~F.ltrim("text").startswith("*"))
     t, at = F.col("text"), (F.col("file"), F.col("line_no"), F.trim(F.col("text")))
     word = T.first_contained(F.lower(t), vocab.LOG_WORDS)
@@ -77,22 +77,30 @@ def access_findings(files: DataFrame) -> DataFrame:
     body = F.col("match")
     open_ = m.where(body.contains("Account<") & ~T.contains_any(body, ["authority", "owner", "admin", "Signer<"]) & T.contains_any(F.lower("group"), ["update", "modify", "transfer", "withdraw"]))
     ls = L.lines(files, "file", "content")
-    called = ls.withColumn("context", L.context("file", 50, 4)).withColumn("last", F.max("line_no").over(W.partitionBy("file"))).where(F.col("text").rlike(r"invoke\s*\(|invoke_signed\s*\("))
-    called = called.withColumn("next", F.lead("line_no").over(W.partitionBy("file").orderBy("line_no")))
-    alone = (F.coalesce(F.col("next"), F.lit(1 << 30)) > F.col("line_no") + 6) & (F.col("last") >= F.col("line_no") + 6)
-    safe = F.col("context").rlike(r"program_id|check_id|crate::ID|ctx\.program_id") | T.contains_any("context", ["system_program", "token_program", "token::", "CpiContext"])
+    called = L.settled(ls.withColumn("context", L.context("file", 50, 4)), "file", F.col("text").rlike(r"invoke\s*\(|invoke_signed\s*\("))
+    c = F.col("context")
+    safe = c.rlike(r"program_id|check_id|crate::ID|ctx\.program_id") | T.contains_any(c, vocab.SAFE_CPI) | (c.contains("&self.") & T.contains_any(c, ["_instruction", "_program"]))
     return union([
         finding(open_, "PRIV-009", "Accounts without authority", "MEDIUM", F.col("file"), F.col("line"), F.col("group"), "Require a signer."),
-        finding(called.where(alone & ~safe), "PRIV-009", "Call without program check", "MEDIUM", F.col("file"), F.col("line_no"), F.trim(F.col("text")), "Check the program's id."),
+        finding(called.where(~safe), "PRIV-009", "Call without program check", "MEDIUM", F.col("file"), F.col("line_no"), F.trim(F.col("text")), "Check the program's id."),
     ])
 
 
 def seed_facts(seeds: Column) -> tuple[Column, Column, Column]:
     """(static seeds, whether any is dynamic, whether one is a global prefix)."""
-    static = F.regexp_extract_all(seeds, F.lit('b"([^"]*)"'), F.lit(1))
-    dynamic = seeds.rlike(r"\.key\s*\(|\.as_ref\s*\(|\.to_le_bytes\s*\(|&\[") | F.regexp_replace(seeds, 'b"[^"]*"', "").rlike("[A-Za-z_]")
+    static = F.regexp_extract_all(seeds, F.lit(r'b\s*"([^"]+)"'), F.lit(1))
+    named = F.regexp_replace(seeds, r'b\s*"[^"]*"', "").rlike(r"\b(" + "|".join(vocab.SEED_NAMES) + r")\b")
     world = F.exists(static, lambda s: F.exists(F.array(*[F.lit(p) for p in vocab.GLOBAL_SEED_PREFIXES]), lambda p: F.lower(s).startswith(p)))
-    return static, dynamic, world
+    return static, T.contains_any(seeds, vocab.SEED_CALLS) | named, world
+
+
+def pda_confidence(seeds: Column, struct: Column, field: Column) -> Column:
+    """70 and what the seeds and the names say, within 20 and 95."""
+    static, _, world = seed_facts(seeds)
+    names = F.lower(F.concat_ws(" ", struct, field))
+    score = F.lit(70) + F.when(F.size(static) <= 1, 10).otherwise(0) + F.when(T.contains_any(names, ["user", "profile"]), 15).otherwise(0)
+    score = score - F.when(world, 30).otherwise(0) - F.when(T.contains_any(names, vocab.ENUMERABLE_NAMES), 20).otherwise(0)
+    return F.greatest(F.lit(20), F.least(F.lit(95), score))
 
 
 def anchor_findings(files: DataFrame, structs: DataFrame | None = None) -> DataFrame:
@@ -100,20 +108,18 @@ def anchor_findings(files: DataFrame, structs: DataFrame | None = None) -> DataF
     f = structs if structs is not None else struct_fields(files)
     static, dynamic, world = seed_facts(F.col("seeds"))
     pda = f.where(F.col("is_context") & F.col("seeds").isNotNull() & ~dynamic & ~world)
-    names = F.lower(F.concat_ws(" ", "struct", "field"))
-    pda_conf = F.lit(70) + F.when(F.size(static) <= 1, 10).otherwise(0) + F.when(T.contains_any(names, ["user", "profile"]), 15).otherwise(0) - F.when(T.contains_any(names, ["pool", "vault", "market"]), 20).otherwise(0)
     m = matches(files, {
-        "signer": (r"pub\s+(\w*authority\w*)\s*:\s*(?:AccountInfo|UncheckedAccount|Account)", 200, 200), "mut": (r"#\[account\s*\(\s*mut\s*(?:,|[^\)]*)\s*\)\]", 0, 400),
-        "raw": (r"(?:try_from_slice|try_borrow_data)\s*\(", 300, 300), "cpi": (r"invoke(?:_signed)?\s*\(", 500, 300), "close": (r"close\s*=\s*(\w+)", 100, 200),
-        "init": (r"#\[account\s*\(\s*init_if_needed[^\]]*\]", 0, 2000), "math": (r"(?:amount|balance|lamports|total|fee|price)\s*[\+\-\*]\s*", 100, 100),
+        "signer": (vocab.AUTHORITY_FIELD, 200, 200), "mut": (vocab.MUT_ACCOUNT, 0, -2),
+        "raw": (vocab.RAW_READ, 300, 300), "cpi": (vocab.CPI_CALL, 500, 300), "close": (vocab.CLOSED, 100, 200),
+        "init": (r"#\[account\s*\(\s*init_if_needed[^\]]*\]", 0, 2000), "math": (vocab.MATH, 100, 100),
     })
     around, of = F.concat("before", "after"), lambda r: F.col("rule") == r
     at = (F.col("file"), F.col("line"), F.trim(F.col("line_text")))
     lacks = lambda c, ws: ~T.contains_any(c, ws)
-    body = F.regexp_extract("after", r"^([^\n]*\n?[^\n;}]*)", 1)
+    body = F.regexp_extract(F.expr("substring(after, length(match) + 1)"), "^([^;}]*)", 1)
     ls = L.lines(files, "file", "content")
-    marks = F.max(F.lower("text").contains("check:") | F.col("text").contains("CHECK")).over(L.frame("file", 9, 0))
-    seeded = F.max(F.col("text").contains("seeds")).over(L.frame("file", 9, 0))
+    marks = L.seen_within(F.lower("text").contains("check:") | F.col("text").contains("CHECK"), "file", 9)
+    seeded = L.seen_within(F.col("text").contains("seeds"), "file", 9)
     ls = ls.withColumn("checked", marks).withColumn("seeded", seeded).withColumn("body", L.context("file", 0, 9))
     la = (F.col("file"), F.col("line_no"), F.trim(F.col("text")))
     word = T.first_contained(F.lower(F.regexp_extract("body", r"(?s)emit!\s*\(\s*\w+\s*\{(.*)", 1)), vocab.EVENT_WORDS)
@@ -121,7 +127,7 @@ def anchor_findings(files: DataFrame, structs: DataFrame | None = None) -> DataF
     said = F.lower("body")
     emit_conf = F.lit(65) + F.when(F.col("word").isin("user", "owner", "authority", "recipient", "sender"), 15).otherwise(0) - F.when(F.col("word").isin("amount", "fee", "price", "balance"), 10).otherwise(0) + F.when(T.contains_any(said, ["pubkey", "key()"]), 10).otherwise(0)
     return union([
-        finding(pda, "PRIV-010", "Predictable address", "MEDIUM", F.col("file"), F.col("line"), F.concat(F.lit("seeds = ["), F.col("seeds"), F.lit("]")), "Add a seed that can't be guessed.", F.greatest(F.lit(20), F.least(F.lit(95), pda_conf))),
+        finding(pda, "PRIV-010", "Predictable address", "MEDIUM", F.col("file"), F.col("line"), F.concat(F.lit("seeds = ["), F.col("seeds"), F.lit("]")), "Add a seed that can't be guessed.", pda_confidence(F.col("seeds"), F.col("struct"), F.col("field"))),
         found(ls, [
             rule(F.col("word").isNotNull(), "PRIV-006", F.concat(F.lit("Sensitive word in event: "), F.col("word")), "MEDIUM", *la, "Emit hashed identifiers.", F.greatest(F.lit(30), F.least(F.lit(90), emit_conf))),
             rule((F.col("text").contains("UncheckedAccount<'info>") & ~F.col("checked") & ~F.col("seeded")), "PRIV-012", "Unchecked account", "MEDIUM", *la, "Say why it needs no check, or check it.", 75),
@@ -130,7 +136,7 @@ def anchor_findings(files: DataFrame, structs: DataFrame | None = None) -> DataF
         found(m, [
             rule(of("signer") & (lacks(around, ["Signer<", "has_one", "constraint"])), "PRIV-011", "Authority without signer", "HIGH", *at, "Require a signer.", 65),
             rule(of("mut") & (lacks(F.concat("match", body), ["init", "constraint", "has_one", "seeds", "close", "Signer<", "Program<", "system_program", "rent"])), "PRIV-008", "State may be uninitialised", "HIGH", *at, "Check that the account is initialised.", F.when(body.contains("Account<"), 70).otherwise(85)),
-            rule(of("raw") & (lacks(around, ["discriminator", "DISCRIMINATOR"])), "PRIV-008", "Data read without discriminator", "MEDIUM", *at, "Check the discriminator.", 75),
+            rule(of("raw") & (lacks(around, vocab.DISCRIMINATORS)), "PRIV-008", "Data read without discriminator", "MEDIUM", *at, "Check the discriminator.", 75),
             rule(of("cpi") & (~around.rlike(r"Program<'info,\s*\w+>") & lacks(around, ["program.key()", "program_id", "token_program", "system_program", "cpi::"])), "PRIV-013", "Call of an unchecked program", "HIGH", *at, "Check the program.", 60),
             rule(of("close") & (lacks(around, ["discriminator", "is_initialized"])), "PRIV-014", "Closing may be undone", "MEDIUM", *at, "Clear the discriminator.", 55),
             rule(of("init") & (lacks("match", ["constraint", "has_one", "realloc"])), "PRIV-015", "Initialised again", "HIGH", *at, "Add a constraint.", 75),
@@ -156,15 +162,43 @@ def scan(files: DataFrame, detectors: list[str] | None = None, marker: str = "pr
 
 
 def context_adjustment(rows: DataFrame, key: str = "file") -> DataFrame:
-    """Lines with what the 25 lines around say: (delta, reasons), to be added to a confidence within 10 and 98."""
-    c = F.lower(L.context(key, 25, 25))
-    n = T.count_contained(c, ["email", "phone", "ssn", "passport", "first_name", "last_name"])
+    """Lines (file, line_no, text; optional struct and function, the names they are in) with what the file and the lines around say:
+    (delta, reasons), to be added to a confidence within 10 and 98."""
+    for name in ("struct", "function"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+    w = W.partitionBy(key)
+    c = F.lower(L.context(key, 25, 24))
+    whole = lambda words: F.max(T.contains_any(F.lower("text"), words)).over(w)
+    struct, function = F.lower("struct"), F.lower("function")
+    comment = F.ltrim("text").startswith("///") | F.ltrim("text").startswith("//!")
+    documented = F.count_if(comment).over(L.frame(key, 25, 24))
+    n = T.count_contained(c, vocab.PII_PATTERNS)
     terms = [
-        (c.contains("#[account]"), 10, "account"), (c.contains("emit!"), 15, "event"), (c.rlike(r"struct \w*user"), 15, "user struct"), (c.rlike(r"fn \w*user"), 10, "user function"),
-        (n >= 3, 20, "personal words"), (n == 2, 10, "personal words"), (c.contains("string"), 5, "text"), (T.contains_any(c, ["#[test]", "#[cfg(test)]"]), -30, "test"),
-        (T.is_financial_context(c), -15, "finance"), (T.has_token_metadata_context(c), -20, "token metadata"), (T.has_nft_metadata_context(c), -15, "asset metadata"),
-        (T.contains_any(c, ["encrypt", "hash("]), -10, "protection"), (T.contains_any(c, ["require!", "assert!"]), -5, "validation"), (c.contains("mock"), -20, "mock"),
-        (T.contains_any(c, ["example.com", "placeholder"]), -25, "placeholder"), (F.regexp_count(c, F.lit("///")) > 3, -10, "documentation"),
+        (T.contains_any(c, ["#[account", "#[instruction"]), 10, "account or instruction"), (T.contains_any(c, ["emit!", "#[event]"]), 15, "event"),
+        (T.contains_any(struct, ["user", "profile", "member"]), 15, "struct of users"), (T.contains_any(function, ["user", "register", "profile"]), 10, "function of users"),
+        (n >= 3, 20, "personal fields"), (n == 2, 10, "personal fields"), (T.contains_any(c, ["string", "vec<u8>"]), 5, "text"),
+        (whole(["#[cfg(test)]", "#[test]"]), -30, "test"), (T.is_financial_context(c), -15, "finance"), (T.has_token_metadata_context(c), -20, "token metadata"),
+        (T.has_nft_metadata_context(c), -15, "asset metadata"), (K.is_safe_struct_context("struct"), -15, "safe struct"), (T.contains_any(c, vocab.PROTECTION_WORDS), -10, "protection"),
+        (T.contains_any(c, vocab.VALIDATION_WORDS), -5, "validation"), (whole(vocab.MOCK_WORDS), -20, "mock"), (T.contains_any(c, vocab.PLACEHOLDER_WORDS), -25, "placeholder"),
+        (documented > 3, -10, "documentation"),
     ]
-    delta = sum((F.when(t, v).otherwise(0) for t, v, _ in terms), F.lit(0))
-    return rows.select("*", delta.alias("delta"), F.array_compact(F.array(*[F.when(t, F.lit(w)) for t, _, w in terms])).alias("reasons"))
+    flag = lambda t: F.coalesce(t, F.lit(False))
+    delta = sum((F.when(flag(t), v).otherwise(0) for t, v, _ in terms), F.lit(0))
+    return rows.select("*", delta.alias("delta"), F.array_compact(F.array(*[F.when(flag(t), F.lit(x)) for t, _, x in terms])).alias("reasons"))
+
+
+def in_context(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with confidences as the lines around them have it, and the reasons as evidence."""
+    said = context_adjustment(L.lines(files, "file", "content")).select("file", F.col("line_no").alias("line"), "delta", "reasons")
+    out = findings.join(said, ["file", "line"], "left")
+    score = F.greatest(F.lit(10), F.least(F.lit(98), F.col("confidence") + F.col("delta")))
+    out = out.withColumn("confidence", F.when(F.col("delta").isNotNull(), score).otherwise(F.col("confidence")).cast("int"))
+    return out.withColumn("evidence", F.concat("evidence", F.coalesce("reasons", F.array().cast("array<string>")))).select(*findings.columns)
+
+
+def struct_predicates(structs: DataFrame) -> DataFrame:
+    """(file, struct, has_authority, unprotected_mut) of struct_fields rows."""
+    own = F.col("is_signer") | T.contains_any("field", ["authority", "owner", "admin"]) | F.col("type").contains("Signer")
+    g = structs.groupBy("file", "struct").agg(F.max(own).alias("has_authority"), F.max("is_mut").alias("mut"), F.max("is_context").alias("context"))
+    return g.select("file", "struct", "has_authority", (F.col("context") & F.col("mut") & ~F.col("has_authority")).alias("unprotected_mut"))

@@ -1,7 +1,8 @@
 """Flows of sensitive data from sources to sinks within functions, and through functions that return what they read.
 
-A first pass over all files makes a table of function summaries (broadcast behind a size check, joined by name); a second
-folds each function's statements in order, which no aggregate of SQL can: an assignment replaces what a name holds.
+A first pass over all files makes a table of function summaries, joined by the names that a file calls: its own functions
+count first. A second folds each function's statements in order, which no aggregate of SQL can: an assignment replaces
+what a name holds.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from veilscan import vocab
 from veilscan.sources.rust import functions
 
-#: Types whose values may carry data from outside.
+#: Types whose values may carry data from outside.
 TAINTABLE = ["Vec<u8>", "[u8]", "&[u8]", "String", "&str", "Vec<", "Box<", "&mut", "Pubkey", "AccountInfo"]
+#: Sinks with their severities, and what sources and sinks add to a flow's confidence.
 SINKS = [
     ("emit", r"\bemit(?:_cpi)?!\s*\((.*)", "HIGH"), ("msg", r"\bmsg!\s*\((.*)", "MEDIUM"), ("debug", r"\b(?:println|dbg|eprintln)!\s*\((.*)", "LOW"),
     ("sol_log", r"\bsol_log\w*\s*\((.*)|\blog_\w*\s*\((.*)", "MEDIUM"), ("cpi", r"\binvoke(?:_signed)?\s*\((.*)|(?:CpiContext|cpi::)(.*)", "HIGH"),
@@ -28,8 +30,11 @@ FLOWS = "file string, function string, line int, source string, source_kind stri
 
 
 def sanitized(expr: str) -> bool:
-    e = expr.replace(" ", "")
-    return any(s in e for s in vocab.SANITIZERS)
+    """Whether the expression hides what it reads, or ends as one that tells a length or a yes or no only."""
+    e = expr.replace(" ", "").strip().rstrip(";")
+    if e.endswith(")") and e.count(")") > e.count("("):  # of the call around it
+        e = e[:-1]
+    return any(s in e for s in vocab.SANITIZERS) or any(e.endswith(s) or s[-1] != ")" and re.search(re.escape(s) + r"\([^()]*\)$", e) for s in vocab.SAFE_ENDINGS)
 
 
 def taintable(ty: str) -> bool:
@@ -61,13 +66,13 @@ def source_of(expr: str, calls: dict[str, bool]) -> tuple[str, str] | None:
     return None
 
 
-def confidence(kind: str, sink: str, carrier: str) -> int:
-    """70 and what source, sink and carrier add."""
+def confidence(kind: str, sink: str, carrier: str, raw: bool = False) -> int:
+    """70 and what source (raw: bytes of a parameter), sink and carrier add."""
     low = carrier.lower()
-    score = 70 + SOURCE_TERM.get(kind, 0) + SINK_TERM.get(sink, 0)
-    if low.endswith("_name") and "user" not in low or low in ("unknown", "name", "id", "index", "count", "amount", "data", "value", "result", "info", "state"):
+    score = 70 + SOURCE_TERM.get(kind, 0) + SINK_TERM.get(sink, 0) + (10 if raw else 0)
+    if low in vocab.GENERIC_CARRIERS or low.endswith("_name") and "user" not in low:
         score -= 25
-    elif any(x in low for x in ("user", "pii", "email", "phone", "secret", "private", "ssn", "password")):
+    elif any(x in low for x in vocab.PERSONAL_CARRIERS):
         score += 10
     return max(20, min(98, score))
 
@@ -78,6 +83,7 @@ def flows(name: str, params: list[tuple[str, str]], statements: list[tuple[int,
     for p, ty in params:
         if "Context<" not in ty and taintable(ty):
             held[p] = [("parameter", p, (p,))]
+    raw = {p for p, ty in params if "Vec<u8>" in ty or "[u8]" in ty}
     for line, text in statements:
         if m := re.match(r"let\s+(?:mut\s+)?(\w+)\s*(?::[^=]+)?=\s*(.*)", text, re.S):
             target, expr = m[1], m[2]
@@ -99,10 +105,10 @@ def flows(name: str, params: list[tuple[str, str]], statements: list[tuple[int,
             for carrier, sources in held.items():
                 if carrier in seen:
                     for kind, source, path in sources:
-                        yield {"function": name, "line": line, "source": source, "source_kind": kind, "sink": sink, "severity": severity, "carrier": carrier, "confidence": confidence(kind, sink, carrier), "snippet": text[:120], "path": [*path, sink]}
+                        yield {"function": name, "line": line, "source": source, "source_kind": kind, "sink": sink, "severity": severity, "carrier": carrier, "confidence": confidence(kind, sink, carrier, kind == "parameter" and source in raw), "snippet": text, "path": [*path, sink]}
             direct = source_of(inside, {})
             if direct and not any(c in seen for c in held):
-                yield {"function": name, "line": line, "source": direct[1], "source_kind": direct[0], "sink": sink, "severity": severity, "carrier": "unknown", "confidence": confidence(direct[0], sink, "unknown"), "snippet": text[:120], "path": [direct[1], sink]}
+                yield {"function": name, "line": line, "source": direct[1], "source_kind": direct[0], "sink": sink, "severity": severity, "carrier": "unknown", "confidence": confidence(direct[0], sink, "unknown"), "snippet": text, "path": [direct[1], sink]}
 
 
 SUMMARY = "file string, name string, tainted_params array<int>, reads_accounts boolean, has_sinks boolean, returns_tainted boolean"
@@ -131,13 +137,18 @@ def summaries(files: DataFrame, descend: bool = True) -> DataFrame:
 
 
 def taint_flows(files: DataFrame, registry: DataFrame | None = None, descend: bool = True) -> DataFrame:
-    """Flows of all files; registry: summaries, of which the first by file counts for a name. Files with ``test`` in their path are skipped."""
-    names = None
-    if registry is not None:
-        first = registry.groupBy("name").agg(F.min_by("returns_tainted", "file").alias("r")).where("r").agg(F.collect_set("name").alias("names"))
-        names = first
+    """Flows of all files; registry: summaries. A name that a file calls has the summary of the file's own function, or else
+    that of the first file that has one. Files with ``test`` in their path are skipped."""
     plain = files.where(~F.col("file").contains("test")).select("file", "content")
-    plain = plain.crossJoin(F.broadcast(names)) if names is not None else plain.withColumn("names", F.array().cast("array<string>"))  # one row of names
+    if registry is None:
+        plain = plain.withColumn("names", F.array().cast("array<string>"))
+    else:
+        called = plain.select("file", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(\w+)\s*\("), F.lit(1)))).alias("name"))
+        first = registry.groupBy("name").agg(F.min_by("returns_tainted", "file").alias("any"))
+        own = registry.groupBy("file", "name").agg(F.max("returns_tainted").alias("own"))
+        known = called.join(first, "name").join(own, ["file", "name"], "left").where(F.coalesce("own", "any"))
+        names = known.groupBy("file").agg(F.collect_set("name").alias("names"))
+        plain = plain.join(names, "file", "left").select("file", "content", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
     def run(batches):
         for b in batches:

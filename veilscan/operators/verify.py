@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from veilscan import vocab
 from veilscan.functions import text as T
 from veilscan.operators.ledger import balance_pairs, cluster_pairs
-from veilscan.operators.report import union
+from veilscan.operators.report import finding, union
 
+#: Adjustments by counts, the first upper bound that holds a count.
 ADJUST = {
     "event": [(0, -20), (10, 15), (100, 25), (None, 35)],
     "state": [(0, -15), (3, 10), (10, 20), (None, 30)],
@@ -58,7 +59,7 @@ def transaction_evidence(tx: DataFrame, program: str) -> DataFrame:
         x("event", lambda g: F.size(T.log_pii_types(g)) > 0).alias("event"), x("debug", T.is_debug_output).alias("debug"),
         F.size(F.filter("logs", state)).alias("state"), F.size(F.filter("logs", fresh)).alias("fresh"),
         F.size(F.filter("logs", guess)).alias("guess"), F.size(F.filter("logs", series)).alias("series"), x("phrase", seed_phrase_log).alias("phrase"),
-        F.size(F.filter("instructions", lambda i: i["programId"] != program)).alias("calls"), "blockTime",
+        F.size(F.filter("instructions", lambda i: i["programId"] != program)).alias("calls"),
     )
     one = flags.agg(*[F.count_if(c).alias(c) for c in ("event", "debug", "phrase")], *[F.coalesce(F.sum(F.greatest(F.col(c), F.lit(0))), F.lit(0)).alias(c) for c in ("state", "fresh", "guess", "series", "calls")])
     one = one.crossJoin(F.broadcast(weekly_rate(tx))).crossJoin(F.broadcast(init_addresses(tx).agg(F.count("*").alias("again"))))  # one row each
@@ -135,9 +136,61 @@ def program_evidence(programs: DataFrame) -> DataFrame:
     return programs.select("*", known.alias("known"), frozen.alias("frozen"), total.alias("adjustment"), F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise("No on-chain adjustments").alias("reason"))
 
 
+def program_risk(findings: DataFrame, programs: DataFrame) -> DataFrame:
+    """Findings (any columns, code_snippet among them) with the address that their snippets name and what is known of it: target, adjustment,
+    note. programs: (program, owner, exists), a row a program; an address that is none of these was not found."""
+    by = programs.select(F.col("program").alias("_p"), "owner", "exists")
+    out = findings.withColumn("target", T.first_address("code_snippet")).join(by, F.col("target") == F.col("_p"), "left")
+    there = F.coalesce("exists", F.lit(False))
+    known, frozen = F.col("target").isin(vocab.KNOWN_SAFE_PROGRAMS), F.coalesce(F.col("owner") == vocab.BPF_LOADERS[0], F.lit(False))
+    said = F.when(F.col("target").isNull(), F.struct(F.lit(0).alias("a"), F.lit("no address in the finding").alias("n")))
+    for when, a, n in ((~there, 0, "target program not found"), (known, -20, "target is a known safe program"), (frozen, -15, "target is frozen"), (F.lit(True), 25, "target can be upgraded")):
+        said = said.when(when, F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")))
+    return out.withColumn("_s", said).withColumn("adjustment", F.col("_s.a")).withColumn("note", F.col("_s.n")).drop("_p", "_s", "owner", "exists")
+
+
+def ledger_findings(accounts: DataFrame, signatures: DataFrame, program: str) -> DataFrame:
+    """The findings that a program's accounts (lamports, size) and signatures (memo) give by themselves: one of each rule at most."""
+    at, zero = F.lit(f"program:{program}"), F.lit(0)
+    bare = accounts.agg(F.count_if((F.col("lamports") == 0) | (F.col("size") == 0)).alias("n")).where("n > 0")
+    said = signatures.agg(F.count_if(T.contains_any(F.lower("memo"), vocab.MEMO_WORDS)).alias("n")).where("n > 0")
+    n = F.col("n").cast("string")
+    return union([
+        finding(bare, "PRIV-008", "Uninitialized Accounts Detected", "HIGH", at, zero, F.concat(n, F.lit(" accounts with zero lamports/data")), "Check that accounts are initialised.", 80, F.array(F.lit("Accounts without proper initialization"))),
+        finding(said, "PRIV-006", "Sensitive Data in Memo Fields", "MEDIUM", at, zero, F.concat(n, F.lit(" transactions with sensitive memos")), "Keep memos free of what is private.", 75, F.array(F.lit("Sensitive keywords detected in transaction memos"))),
+    ])
+
+
+def by_rule(evidence: DataFrame) -> DataFrame:
+    """(id, evidence, adjustment), one row a rule: what several tables know of a rule adds up."""
+    return evidence.groupBy("id").agg(F.sum("evidence").cast("long").alias("evidence"), F.sum("adjustment").cast("int").alias("adjustment"))
+
+
 def verify(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Findings with verified_confidence and notes; rules without evidence keep their confidence and say so."""
-    e = evidence.select("id", "evidence", "adjustment")
-    out = findings.drop("evidence").join(F.broadcast(e) if evidence is not None else e, "id", "left")  # a row a rule
-    note = F.coalesce(F.concat(F.lit("evidence: "), F.col("evidence").cast("string")), F.lit("no ledger check for this rule"))
-    return out.select("id", "file", "line", F.col("confidence").alias("static_confidence"), T.adjusted("confidence", F.coalesce("adjustment", F.lit(0))).alias("verified_confidence"), F.array(note).alias("notes"))
+    """Each finding, once, with static_confidence, verified_confidence and notes; rules without evidence keep their confidence and say so."""
+    e = by_rule(evidence).select("id", F.col("evidence").alias("_n"), F.col("adjustment").alias("_a"))
+    out = findings.join(F.broadcast(e), "id", "left")  # a row a rule
+    note = F.coalesce(F.concat(F.lit("evidence: "), F.col("_n").cast("string")), F.lit("no ledger check for this rule"))
+    out = out.withColumn("static_confidence", F.col("confidence")).withColumn("verified_confidence", T.adjusted("confidence", F.coalesce("_a", F.lit(0)))).withColumn("notes", F.array(note))
+    return out.select(*findings.columns, "static_confidence", "verified_confidence", "notes")
+
+
+def confirmed(verified: DataFrame) -> DataFrame:
+    """Verified findings as findings: the verified confidence, and the notes after the evidence."""
+    own = [c for c in verified.columns if c not in ("static_confidence", "verified_confidence", "notes")]
+    out = verified.withColumn("confidence", F.col("verified_confidence")).withColumn("evidence", F.concat("evidence", "notes"))
+    return out.select(*own)
+
+
+def verify_report(verified: DataFrame, program: str, details: bool = False) -> DataFrame:
+    """(place, id, text): the lines of a verification, a head and one or more a finding; JSON is ``verify_json``."""
+    head = verified.agg(F.count("*").alias("n")).select(F.lit(0).alias("place"), F.lit("").alias("id"), F.concat(F.lit(f"{program}: "), F.col("n").cast("string"), F.lit(" findings verified")).alias("text"))
+    said = F.format_string("%s %s: static %d, verified %d", "id", "title", "static_confidence", "verified_confidence")
+    text = F.concat(F.array(said), F.transform("notes", lambda n: F.concat(F.lit("  "), n))) if details else F.array(said)
+    return head.unionByName(verified.select(F.lit(1).alias("place"), "id", F.explode(text).alias("text")))
+
+
+def verify_json(findings: DataFrame, program: str) -> DataFrame:
+    """(part, report): a head {program_id, issues_found} and a line of JSON a finding."""
+    head = findings.agg(F.count("*").alias("issues_found")).select(F.lit("head").alias("part"), F.to_json(F.struct(F.lit(program).alias("program_id"), "issues_found")).alias("report"))
+    return head.unionByName(findings.select(F.lit("finding").alias("part"), F.to_json(F.struct("id", "title", "severity", "confidence")).alias("report")))

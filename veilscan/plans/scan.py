@@ -29,5 +29,5 @@ def scan_ledger(tx: DataFrame, assets: DataFrame, metadata: DataFrame, program:
 
 
 def verify_findings(findings: DataFrame, *evidence: DataFrame) -> DataFrame:
-    """Findings with confidence confirmed or discounted by ledger evidence."""
-    return report.merge_verified(findings, verify.verify(findings, report.union(list(evidence))))
+    """Findings, each once, with confidence confirmed or discounted by ledger evidence."""
+    return verify.confirmed(verify.verify(findings, report.union(list(evidence))))

@@ -167,11 +167,13 @@ def struct_fields(files: DataFrame, descend: bool = True) -> DataFrame:
     return files.select("file", "content").mapInPandas(_each(structs, names, descend), STRUCTS)
 
 
+#: Rows of ``matches``.
 MATCH = "file string, rule string, line int, start int, match string, group string, before string, after string, line_text string"
 
 
 def matches(files: DataFrame, patterns: dict[str, tuple[str, int, int]]) -> DataFrame:
-    """Matches of named patterns {rule: (regex, characters before, characters after)} with their places and surroundings."""
+    """Matches of named patterns {rule: (regex, characters before, characters after)} with their places and surroundings; a number
+    after of -n is up to the n-th line's end."""
     compiled = {k: (re.compile(p, re.S), a, b) for k, (p, a, b) in patterns.items()}
 
     def run(batches):
@@ -183,7 +185,13 @@ def matches(files: DataFrame, patterns: dict[str, tuple[str, int, int]]) -> Data
                     for m in p.finditer(src):
                         s, e = m.span()
                         lo, hi = src.rfind("\n", 0, s) + 1, src.find("\n", s)
-                        rows.append((file, rule, _line(src, s), s, m[0], m[1] if m.re.groups else None, src[max(0, s - a) : s], src[s : min(len(src), s + b)], src[lo : hi if hi >= 0 else len(src)]))
+                        end = s + b
+                        if b < 0:
+                            end = e
+                            for _ in range(-b):
+                                end = src.find("\n", end) + 1 or len(src) + 1
+                            end -= 1
+                        rows.append((file, rule, _line(src, s), s, m[0], m[1] if m.re.groups else None, src[max(0, s - a) : s], src[s : min(len(src), end)], src[lo : hi if hi >= 0 else len(src)]))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in MATCH.split(", ")])
 
     return files.select("file", "content").mapInPandas(run, MATCH)

@@ -74,9 +74,6 @@ SWAP TRANSFER NFT_SALE NFT_LISTING NFT_CANCEL_LISTING NFT_BID NFT_MINT NFT_BID_C
 UNSTAKE_SOL CLAIM_REWARDS ADD_LIQUIDITY REMOVE_LIQUIDITY BORROW_FOX LOAN_FOX INIT_BANK INIT_STAKE MERGE_STAKE SPLIT_STAKE UPGRADE_PROGRAM_INSTRUCTION
 FINALIZE_PROGRAM_INSTRUCTION
 """.split()
-MEMO_PROGRAMS = """
-MemoSq4gqABAXKb96qnH8TysNcWxMyWCqXgDLGmfcHr Memo1UhkJRfHyvLMcVucJwxXeuD728EqVDDwQDxFMNo
-""".split()
 KNOWN_SAFE_PROGRAMS = """
 11111111111111111111111111111111 TokenkegQfeZyiNwAJbNbGKPFXCWuBvf9Ss623VQ5DA TokenzQdBNbLqP5VEhdkAS6EPFLC1PHnBqCXEpPxuEb
 ATokenGPvbdGVxr1b2hvZbsiqW5xWH25efTNsLJA8knL metaqbxxUerdq28cj1RbAWkYQm3ybzjb6a8bt518x1s JUP6LkbZbjS1jKKwapdHNy74zcZ3tLUZoi5QNyVTaV4
@@ -125,3 +122,41 @@ ACCOUNT_PII = [
     r"(first_name|last_name|ssn|passport|phone|email|birth)",
     r"api[_-]?key",
 ]
+
+# Fixed values of the source rules, as they must be for right results.
+#: Folders that hold no program sources.
+SKIPPED_DIRS = """
+target sdk client generated examples wasm cli tests cosmwasm evm ethereum aptos sui terra algorand near
+""".split()
+#: Folders below the root are read to this depth.
+MAX_DEPTH = 50
+#: Context that makes a call's target known.
+SAFE_CPI = """
+system_instruction:: spl_token::instruction:: spl_token_2022::instruction:: spl_token::id() system_program::id() anchor_spl:: &spl_token::ID &system_program::ID
+""".split()
+#: What makes a seed dynamic: calls, and names outside byte strings.
+SEED_CALLS = [".key()", ".as_ref()", ".to_le_bytes()", ".to_bytes()"]
+SEED_NAMES = ["authority", "owner", "payer", "signer"]
+#: Names of addresses that are meant to be enumerable.
+ENUMERABLE_NAMES = ["pool", "vault", "reserve", "market", "oracle", "tick", "bridge", "guardian", "wormhole", "custody", "emitter"]
+#: Patterns of the source rules.
+AUTHORITY_FIELD = r"pub\s+(\w*authority\w*)\s*:\s*(?:Account|AccountInfo|UncheckedAccount)"
+MUT_ACCOUNT = r"#\[account\s*\(\s*mut\s*(?:,|[^\)]*)\s*\)\]"
+CPI_CALL = r"invoke(?:_signed)?\s*\("
+CLOSED = r"close\s*=\s*(\w+)"
+MATH = r"(?:amount|balance|lamports|total|fee|price)\s*[\+\-\*]\s*"
+RAW_READ = r"(?:try_from_slice|try_deserialize|try_borrow_data)\s*\("
+#: Context that checks a discriminator.
+DISCRIMINATORS = ["discriminator", "DISCRIMINATOR", "try_deserialize", "Account::try_from"]
+#: Endings of expressions that tell nothing of a value.
+SAFE_ENDINGS = [".len()", ".is_some()", ".is_none()", ".is_empty()", ".contains", ".starts_with", ".ends_with"]
+#: Names of carriers that mean no person, and words that do.
+GENERIC_CARRIERS = ["field_name", "account_name", "name_str", "label", "tag", "key_name", "param_name", "arg_name", "var_name", "type_name", "struct_name"]
+PERSONAL_CARRIERS = ["user", "pii", "email", "phone", "secret", "private", "ssn", "password"]
+#: Words of the context of a line.
+PROTECTION_WORDS = ["hash(", "sha256", "encrypt", "cipher", "commitment"]
+VALIDATION_WORDS = ["require!", "assert!", "constraint", "has_one", "verify"]
+MOCK_WORDS = ["mock", "fixture", "example", "sample", "test_", "_test", "dummy"]
+PLACEHOLDER_WORDS = ["example.com", "placeholder", "xxx", "todo"]
+#: Words that a transaction's description is searched for.
+TX_WORDS = ["swap", "transfer", "mint", "burn", "stake", "deposit", "withdraw", "borrow", "lend", "pool", "liquidity"]
