@@ -12,6 +12,8 @@ Nulls: a null text is empty, a null role is the role ''. A message whose parent
 of a cycle have no root and are in no path. Rows that repeat an id within a tree are told apart before
 (see ``chains``). An empty table gives none. Scale: every step is an equi-join or an aggregation by tree and message;
 only the messages of one path meet in one row.
+
+Extra columns, whatever their names, are ignored. A very long text is one turn like others; a conversation is one row.
 """
 
 from __future__ import annotations

@@ -201,8 +201,8 @@ def _places(h, check, d, no, th):
     """Distinct places, ordered by line, then id, number and text hash; and which are the first of their line."""
     order = np.lexsort((th, no, d, check, h))
     h, check, d, no, th = (x[order] for x in (h, check, d, no, th))
-    line = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
-    new = line | np.concatenate([[True], (d[1:] != d[:-1]) | (no[1:] != no[:-1]) | (th[1:] != th[:-1])])
+    line = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])])[: len(h)]
+    new = line | np.concatenate([[True], (d[1:] != d[:-1]) | (no[1:] != no[:-1]) | (th[1:] != th[:-1])])[: len(h)]
     return h[new], check[new], d[new], no[new], th[new], line[new]
 
 

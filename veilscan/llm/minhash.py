@@ -7,7 +7,9 @@ similarity of their sets is at least ``percent`` / 100, which is confirmed on wh
 
 Scale: equal sets meet in one representative before anything else, so large groups of copies cost one row.
 Buckets are resolved by stars (graph.resolve): no bucket's pairs are listed. Whole sets travel only for texts that
-share a bucket. Every stage is a written table, read again by whatever follows.
+share a bucket. Every stage is a written table, read again by whatever follows. Shingles are 64-bit hashes of whole
+words, and whole when pairs are confirmed; sets are told apart by 128-bit digests. A very long text has one set like
+others, held by one task at a time.
 """
 
 from __future__ import annotations

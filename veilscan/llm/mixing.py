@@ -11,7 +11,8 @@ Scale: two aggregations by source. No source is sorted: keys fall into ``SLICES`
 slices are prefix-summed, and only the one slice that the budget ends in is put in order.
 
 Nulls: a null text has no words; a null source is a source; a null id is hashed as the word null. Rows that
-repeat are rows of their own. An empty table gives none. A source without words has the target 0.
+repeat are rows of their own. An empty table gives none. A source without words has the target 0. Extra columns, whatever
+their names, are ignored by mix and kept by mixed_documents. A very long text counts whole.
 """
 
 from __future__ import annotations
@@ -59,9 +60,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, epochs (times taken), taken (words)."""
+    """One row per row of docs: id, size, source_size, target, taken (words), epochs (times taken), source, th (xxhash64 of the text)."""
     work = Work(docs.sparkSession, "mix")
-    src = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), quality(docs[text_col]).alias("q"))
+    src = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words(docs[text_col]).alias("size"), quality(docs[text_col]).alias("q"), F.xxhash64(docs[text_col]).alias("th"))
     src = work.save(src.withColumn("key", -F.log(uniform(F.col("id"), seed)) / F.col("q")))
     # 1 - exp(-key * mean q): slices of about equal probability, in the keys' order
     src = src.withColumn("slice", F.floor((1 - F.exp(-F.col("key") * 0.9)) * SLICES).cast("int"))
@@ -81,13 +82,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     edge = rows.where("slice = last").withColumn("more", (F.col("before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("rest")).cast("int"))
     out = clear.unionByName(edge).withColumn("epochs", F.col("whole").cast("long") + F.col("more"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs", F.col("source").alias(source_col), "th")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: rows not taken go, rows taken twice stand twice. Ids must be those of rows."""
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).where("epochs > 0").groupBy(F.col(id_col).alias("__mix_id"), F.col("size").alias("__mix_words")).agg(F.max("epochs").alias("__mix_times"))
-    sized = docs.withColumn("__mix_size", words(docs[options.get("text_col", "text")]))
-    hit = sized.join(plan, sized[id_col].eqNullSafe(F.col("__mix_id")) & (F.col("__mix_size") == F.col("__mix_words")))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix takes them: rows not taken go, rows taken twice stand twice. Rows are told apart by id, source and a hash of
+    the text; those that share all three are taken alike."""
+    plan = mix(docs, id_col, text_col, source_col, **options).where("epochs > 0")
+    plan = plan.groupBy(F.col(id_col).alias("__mix_id"), F.col(source_col).alias("__mix_source"), F.col("th").alias("__mix_text")).agg(F.max("epochs").alias("__mix_times"))
+    same = docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source")) & (F.xxhash64(docs[text_col]) == F.col("__mix_text"))
+    hit = docs.join(plan, same)
     return hit.withColumn("__mix_k", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*docs.columns)

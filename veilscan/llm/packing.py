@@ -14,7 +14,8 @@ from counts of (partition, length), so no length is ever sorted or gathered. Tex
 Tokenising: texts fall into pre-tokens by array operations; only distinct pre-tokens meet the BPE, and a worker
 keeps a bounded cache of them. Texts with characters beyond Latin, apostrophes or ``<|`` take the tokenizer itself.
 
-Nulls: a null text is empty (one token); null and repeated ids are rows like others. An empty table gives none.
+Nulls: a null text is empty (one token); null and repeated ids are rows like others. An empty table gives none. Extra
+columns, whatever their names, are ignored. A very long text is tokenised whole and cut into pieces.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilscan.llm import textvec as tv
+from veilscan.llm.graph import SMALL
 from veilscan.llm.work import Work, named
 
 #: Characters below this have their class from a table, others go to the tokenizer.
@@ -230,7 +232,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     plan = docs.sparkSession.createDataFrame(runs or [(0, 0, 0, 1, 0, 0)], "run_length long, r0 long, items long, k long, s0 long, at long")
     base = per.withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("length", "part", F.coalesce("base", F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
-    hit = ranked.join(F.broadcast(plan), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r0") + F.col("items")))
+    # a few runs a length, whatever the number of documents; beyond a checked size the join shuffles
+    hit = ranked.join(F.broadcast(plan) if len(runs) <= SMALL else plan, (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r0") + F.col("items")))
     place = F.col("rank") - F.col("r0")
     return hit.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",

@@ -11,7 +11,8 @@ hashes of the text, and what the rules reject goes by an anti-join on these. The
 of 0.001.
 
 Nulls: a null text has no words, and fails; a null language is the language ''. Rows that repeat count as rows.
-An empty table gives none. Extra columns are ignored.
+An empty table gives none. Extra columns, whatever their names, are ignored by quality and kept by kept_documents. A very
+long text is counted and scored whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Positions are code points, end exclusive: what stands between the matches of a p
 to them, so no operation but split and regexp_extract_all is needed.
 
 Scale: one pass, row by row, no shuffle; the model is 65 x 65 numbers. Texts without a match are told by one search.
-Nulls: a null text is empty. Rows that repeat give rows that repeat; an empty table none; extra columns are ignored.
+Nulls: a null text is empty. Rows that repeat give rows that repeat; an empty table none; extra columns, whatever their
+names, are ignored. A very long text is searched whole, by one task.
 """
 
 from __future__ import annotations
@@ -74,19 +75,22 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """array<struct<start, kind, end>> of the pattern's matches that ``keep``(match, group 2 or None) passes."""
-    two = keep.__code__.co_argcount == 2
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     gaps, sizes = F.transform(between, F.length), F.transform(found, F.length)
-    add = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if two else found
-
-    def span(m, i):
-        start = add(gaps, i + 1) + add(sizes, i)
-        ok = keep(m, F.element_at(values, i + 1)) if two else keep(m)
-        return F.when(ok, F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end")))
-
+    # where each match starts: what stands before it, read off running sums that are made once a text
+    steps = F.zip_with(gaps, sizes, lambda g, s: g + F.coalesce(s, F.lit(0)))
+    sums = F.aggregate(steps, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    places = F.zip_with(found, F.zip_with(sums, gaps, lambda p, g: p + g), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+
+    def span(z, ok):
+        return F.when(z["m"].isNotNull() & ok, F.struct(z["s"].alias("start"), F.lit(kind).alias("kind"), (z["s"] + F.length(z["m"])).alias("end")))
+
+    if keep.__code__.co_argcount == 2:
+        spans = F.zip_with(places, F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda z, v: span(z, keep(z["m"], v)))
+    else:
+        spans = F.transform(places, lambda z: span(z, keep(z["m"])))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int>>")
-    return F.when(text.rlike(pattern if kind < 2 or kind == 3 else r"[0-9a-f]{32}"), F.filter(F.transform(found, span), lambda x: x.isNotNull())).otherwise(none)
+    return F.when(text.rlike(pattern if kind < 2 or kind == 3 else r"[0-9a-f]{32}"), F.filter(spans, lambda x: x.isNotNull())).otherwise(none)
 
 
 def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ Learning rates are per coordinate, and L1 keeps most weights at zero, so what is
 Training reads at most ``bound`` labelled texts (the smallest digests of their ids): that bounds the one task that fits
 them in sequence. Every text is scored, whole, in the pass that reads it; nothing is shuffled.
 
-Nulls: a null text is empty; labels that are null take no part; of repeated labels the largest holds. With no
+Nulls: a null text is empty; labels that are null take no part; of repeated labels the largest holds, of the texts of a repeated id the smallest. With no
 labelled text every score is 0. Rows that repeat an id give rows that repeat; an empty table none. Extra columns
 are ignored, and labels, language, source and id are no features.
 """

@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("veilscan.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilscan")
         spark.conf.set("veilscan.shared.dir", found)
     return found.rstrip("/")
