@@ -71,15 +71,24 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def coded(*columns: np.ndarray) -> bytes:
-    """Columns of one length as their distinct values, sorted, and places among them."""
+    """Columns of one length, rows sorted by the first two, as their distinct values, sorted, and places among them: of the first
+    column, and of the second where the first stays, differences only."""
     values, at = np.unique(np.concatenate(columns), return_inverse=True)
+    at = at.reshape(len(columns), -1)
+    at[1, 1:] -= np.where(at[0, 1:] == at[0, :-1], at[1, :-1], 0)
+    at[0, 1:] -= at[0, :-1].copy()
     values = tv.pack(values)
-    return len(values).to_bytes(8, "little") + values + squash(at)
+    return len(values).to_bytes(8, "little") + values + squash(at.ravel())
 
 
 def places(blob: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
     cut = 8 + int.from_bytes(blob[:8], "little")
-    return tv.unpack(blob[8:cut]), unsquash(blob[cut:]).reshape(columns, -1)
+    at = unsquash(blob[cut:]).reshape(columns, -1).copy()
+    start = np.flatnonzero(np.concatenate([[True], at[0, 1:] != 0])) if at.size else np.zeros(0, np.int64)
+    run = np.cumsum(at[1])
+    at[1] = run - np.repeat(run[start] - at[1, start], np.diff(np.append(start, len(run))))
+    at[0] = np.cumsum(at[0])
+    return tv.unpack(blob[8:cut]), at
 
 
 def decoded(blob: bytes, columns: int) -> np.ndarray:
