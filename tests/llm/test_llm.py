@@ -589,3 +589,17 @@ def test_pipeline_of_empty_tables_and_clashing_columns(spark):
     data = spark.createDataFrame(rows(), SCHEMA)
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, data, "").columns == data.columns, name
+
+
+def test_sorted_columns_come_back_from_differences():
+    import numpy as np
+
+    from veilscan.llm import kneser_ney as kn
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        for columns in (2, 3):
+            for most in (1, 3, 200, 2**63):
+                x = rng.integers(0, most, (columns, n), dtype=np.uint64)
+                x = x[:, np.lexsort((x[1], x[0]))]
+                assert np.array_equal(kn.decoded(kn.coded(*x), columns), x)
