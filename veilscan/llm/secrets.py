@@ -73,14 +73,17 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at(table, pair(i))) / n
 
 
+def _running(steps: Column) -> Column:
+    """Running sums of an array, each round adding what stands twice as far back: n log n steps, for texts of very many matches."""
+    far = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(steps))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(far, steps, lambda a, d: F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - d), F.lit(0))))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """array<struct<start, kind, end>> of the pattern's matches that ``keep``(match, group 2 or None) passes."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    gaps, sizes = F.transform(between, F.length), F.transform(found, F.length)
-    # where each match starts: what stands before it, read off running sums that are made once a text
-    steps = F.zip_with(gaps, sizes, lambda g, s: g + F.coalesce(s, F.lit(0)))
-    sums = F.aggregate(steps, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    places = F.zip_with(found, F.zip_with(sums, gaps, lambda p, g: p + g), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+    ends = _running(F.zip_with(between, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))))
+    places = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("s")))
 
     def span(z, ok):
         return F.when(z["m"].isNotNull() & ok, F.struct(z["s"].alias("start"), F.lit(kind).alias("kind"), (z["s"] + F.length(z["m"])).alias("end")))
