@@ -603,3 +603,32 @@ def test_sorted_columns_come_back_from_differences():
                 x = rng.integers(0, most, (columns, n), dtype=np.uint64)
                 x = x[:, np.lexsort((x[1], x[0]))]
                 assert np.array_equal(kn.decoded(kn.coded(*x), columns), x)
+
+
+def test_quality_sends_a_part_of_the_events_at_a_time():
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from veilscan.llm import kneser_ney as kn
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    t = pq.read_table(path, columns=["text", "lang"])
+    place = pa.array(np.arange(t.num_rows))
+    batch = pa.table({"text": t["text"], "lang": t["lang"], "t1": place, "t2": place}).combine_chunks().to_batches()[0]
+    small = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    events = {g for x, lang in zip(t["text"].to_pylist(), t["lang"].to_pylist(), strict=True) for w in [["", "", *words((x or "").translate(small))]] for g in zip([lang or ""] * len(w), w, w[1:], w[2:], strict=False)}
+    found, counted = 0, np.zeros(t.num_rows, np.int64)
+    for k in range(1 << kn.PART_BITS):
+        sent = [r for b in kn._count(4, k, kn.HELD)([batch]) for r in b.to_pylist()]
+        assert sum(len(r["a"]) for r in sent) < os.path.getsize(path)
+        found += sum(kn.decoded(r["a"], 3).shape[1] for r in sent)
+        used = [r for b in kn._use(4, k, kn.HELD)([batch]) for r in b.to_pylist()]
+        assert sum(len(r[x] or b"") for r in used for x in "abc") < os.path.getsize(path)
+        for r in used:
+            if r["kind"] == "text":
+                counted[np.frombuffer(r["a"], np.int64)[: len(r["a"]) // 16]] += kn.unsquash(r["b"])
+    # the parts have every event once, and every word
+    assert found == len(events)
+    assert counted.tolist() == [len(words(x)) for x in t["text"].to_pylist()]
