@@ -632,3 +632,17 @@ def test_quality_sends_a_part_of_the_events_at_a_time():
     # the parts have every event once, and every word
     assert found == len(events)
     assert counted.tolist() == [len(words(x)) for x in t["text"].to_pylist()]
+
+
+def test_suffix_dedup_of_zero_bytes_beside_ends(spark):
+    """A text that ends where others go on with zero bytes must not part these from each other."""
+    from veilscan.llm.substrings import remove_repeats
+
+    rng, made = np.random.default_rng(3), []
+    for _ in range(20):
+        b = "".join(rng.choice(list("abcdefghij"), int(rng.integers(390, 400))))
+        z, some = "\0" * (400 - len(b)), "k" * 60
+        made += [some[:9] + b + z + "c" + some[:40], some[:9] + b + z + "\0" * 200, some + b]
+        b = b[::-1]
+        made += [some[:40] + "c" + z + b + some[:9], "\0" * 200 + z + b + some[:9], b + some]
+    check_repeats(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3), remove_repeats)
